@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import chat, mixing, quality, sharding
-from marlpit.llm.common import read_table
+from marlpit.llm import bpe, chat, cover_tree, line_dedup, minhash, mixing, quality, sharding, token_store, toxicity
+from marlpit.llm.common import Scratch, read_table
+
+
+def op1_cover_tree_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_pairs(read_table(spark, sf_dir, "embeddings"), cosine=0.95).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op2_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, offsets=True).drop("text", "char_starts")
+    back = bpe.decode(encoded, ranks, pattern)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
 def op3_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +61,38 @@ from e group by conv_id
 """
 
 
+def op4_weighted_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op5_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as pos from documents),
+k as (select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key, max(doc_id) as keep_doc from k where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+j as (select k.*, f.key is not null and k.doc_id <> f.keep_doc as dropped from k left join f on k.key = f.key)
+select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256 from j group by doc_id
+"""
+
+
 def op6_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.balanced_shards(read_table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op7_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def bucket(name: str):
+        return F.crc32(F.col(name).cast("string").cast("binary")) % 5
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").where(bucket("doc_id") != 0).select("doc_id", "toxic")
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    return out.select("doc_id", F.coalesce(bucket("doc_id") == 0, F.lit(True)).alias("held_out"), "score", "predicted", F.size("passages").cast("long").alias("n_passages"))
+
+
 def op8_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = quality.quality_rules(read_table(spark, sf_dir, "documents"))
     return docs.select("doc_id", *[c for c in quality.COLUMNS if c != "clean_text"])
@@ -82,15 +122,30 @@ from b
 """
 
 
+def op9_dictionary_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "tokens")
+    token_store.write_store(read_table(spark, sf_dir, "documents"), scratch.root, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_store.read_store(spark, scratch.root).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_chat_prefix_targets": op3_chat_prefix_targets,
-    "op6_prefix_sum_shards": op6_prefix_sum_shards,
-    "op8_line_first_quality": op8_line_first_quality,
-    "op10_entropy_balanced_mix": op10_entropy_balanced_mix,
+    f.__name__: f
+    for f in (
+        op1_cover_tree_near_pairs,
+        op2_byte_bpe_round_trip,
+        op3_chat_prefix_targets,
+        op4_weighted_minhash_near_duplicates,
+        op5_cuckoo_line_dedup,
+        op6_prefix_sum_shards,
+        op7_toxic_segments,
+        op8_line_first_quality,
+        op9_dictionary_token_store,
+        op10_entropy_balanced_mix,
+    )
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_prefix_targets": OP3_SQL, "op8_line_first_quality": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_prefix_targets": OP3_SQL, "op5_cuckoo_line_dedup": OP5_SQL, "op8_line_first_quality": OP8_SQL}
