@@ -3,7 +3,8 @@
 Learning (fit) uses a bounded sample: at most SAMPLE_PER_CLASS labelled documents of each class, of lowest hash.
 Words get log-odds of being in toxic rather than clean documents under a Dirichlet prior that is the pooled word
 distribution with PRIOR_SHARE of its weight (Monroe et al., 2008); words whose log-odds are Z standard errors from 0
-count, at most MAX_WORDS of them. A token scores its log-odds less DRIFT, so that clean text drifts down. In a clean
+count, at most MAX_WORDS of them; beginnings of words count as words do, and a word that isn't known has the weight of
+its longest known beginning. A token scores its log-odds less DRIFT, so that clean text drifts down. In a clean
 document of n words the best segment exceeds x with probability 1 - exp(-K n exp(-lambda x)) (Karlin and Altschul, 1990):
 lambda from the clean words' scores, K by maximum likelihood on the clean sample.
 
@@ -43,17 +44,49 @@ def fold(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+PREFIXES = (7, 6, 5, 4)
+
+
+def units(word: str) -> Iterator[str]:
+    """A word, and its beginnings, marked as such: inflected and compound words share these."""
+    yield word
+    for n in PREFIXES:
+        if len(word) > n:
+            yield word[:n] + "*"
+
+
+class Weights(dict):
+    """Weights of words as they come up: that of the longest known unit, or None. Bounded by starting afresh."""
+
+    LIMIT = 500_000
+
+    def __init__(self, known: dict[str, float]) -> None:
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> float | None:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        found = self[word] = next((self.known[u] for u in units(word) if u in self.known), None)
+        return found
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
     decay: float = 1.0  # lambda
     log_k: float = 0.0
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    seen: Weights | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": None}
 
     def segments(self, words: list[str]) -> list[tuple[float, int, int]]:
         """All maximal segments (score, first word, end): of their own tokens none scores more without the rest."""
-        get = self.weights.get
-        hits = [(i, v) for i, v in enumerate(map(get, words)) if v is not None]
+        if self.seen is None:
+            self.seen = Weights(self.weights)
+        hits = [(i, v) for i, v in enumerate(map(self.seen.__getitem__, words)) if v is not None]
         total, last = 0.0, 0
         # Candidates (sum before, sum with, first, end) with growing sums, each beginning above an earlier one's begin.
         stack: list[tuple[float, float, int, int]] = []
@@ -150,8 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         toxic, clean = Counter(), Counter()
         for batch in batches:
             for text, is_toxic in zip(_each_text(batch.column(0)), batch.column(1).to_pylist()):
-                words = set(WORD.findall(fold(text)))
-                (toxic if is_toxic else clean).update(words)
+                found = {u for w in set(WORD.findall(fold(text))) for u in units(w)}
+                (toxic if is_toxic else clean).update(found)
         words = list(toxic.keys() | clean.keys())
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
