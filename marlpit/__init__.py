@@ -1 +1,17 @@
 """Lecture-content analytics and training-data operators as Spark plans."""
+
+import os
+import shutil
+import tempfile
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Sends this package to the executors' Python workers, once for each application, so that they need no path to it."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        made = shutil.make_archive(os.path.join(os.path.realpath(tempfile.mkdtemp()), "marlpit"), "zip", root, "marlpit")
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(app)
