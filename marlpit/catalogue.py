@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from marlpit.plans import evaluation, library, operations, search, transcripts
+
+_PLANS = (library, search, transcripts, evaluation, operations)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for plan in _PLANS for name, q in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plan in _PLANS for name, sql in plan.ORACLE_SQL.items()}

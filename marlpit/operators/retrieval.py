@@ -11,23 +11,24 @@ from marlpit.functions.vector import cosine, norm
 QUERY_BLOCK = 4096
 
 
-def similarities(queries: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
+def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: bool = False) -> DataFrame:
     """Every query's `top` most similar chunks of the same model and length: similarity has four decimals, ties go to the smaller sequence.
 
-    queries (query_id, query_model, query) is a block: of up to QUERY_BLOCK rows it goes to all tasks, which rank their
+    own_lecture: only chunks of the query's lecture, query_lecture. queries (query_id, query_model, query) is a block: of up to QUERY_BLOCK rows it goes to all tasks, which rank their
     own chunks and send on `top` for each query; a larger one is dealt in rounds of blocks, united."""
     n = queries.count()
     if n > QUERY_BLOCK:
         blocks = -(-n // QUERY_BLOCK)
         dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        parts = [similarities(dealt.where(F.col("__block") == b).drop("__block"), chunks, top) for b in range(blocks)]
+        parts = [similarities(dealt.where(F.col("__block") == b).drop("__block"), chunks, top, own_lecture) for b in range(blocks)]
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
         return out
     q = queries.withColumn("query_norm", norm(F.col("query")))
     c = chunks.where("embedding is not null").withColumn("chunk_norm", norm(F.col("embedding")))
-    near = c.join(F.broadcast(q), (F.col("embedding_model") == F.col("query_model")) & (F.size("embedding") == F.size("query")))
+    fits = (F.col("embedding_model") == F.col("query_model")) & (F.size("embedding") == F.size("query"))
+    near = c.join(F.broadcast(q), fits & (F.col("lecture_id") == F.col("query_lecture")) if own_lecture else fits)
     near = near.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm")), 4)).where("similarity is not null")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "sequence", "chunk_id")
     return near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)

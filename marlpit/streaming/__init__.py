@@ -1 +1 @@
-
+"""Streaming forms of the queue, rate limit and presence logic."""
