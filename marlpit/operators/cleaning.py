@@ -2,32 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions import text as tx
 
-NO_SPEECH, LOW_LOGPROB, RUN = 0.8, -1.0, 3
+NO_SPEECH, LOW_LOGPROB = 0.8, -1.0
 
 
-def collapse_runs(sentences):
-    """An array of sentences with runs of RUN or more equal ones (case aside) cut to their first; equal ones in shorter runs stay.
+def collapse_runs(sentences: Column) -> Column:
+    """An array of sentences with runs of three or more equal ones (case aside) cut to their first; equal ones in shorter runs stay.
 
-    Sentence i stays if it differs from the one before, or its run is shorter than RUN."""
+    Of such a run, a sentence goes if it equals the one before, and either that equals the one before it or it equals the next."""
     low = F.transform(sentences, F.lower)
-
-    def run_start(s, i):
-        return (i == 0) | ~F.coalesce(F.get(low, i) == F.get(low, i - 1), F.lit(False))
-
-    starts = F.filter(F.sequence(F.lit(0), F.size(sentences)), lambda i: (i == F.size(sentences)) | run_start(sentences, i.cast("int")))
-    # starts holds each run's first place and the end; run k is as long as the gap to the next.
-    kept = F.flatten(
-        F.transform(
-            F.slice(starts, 1, F.greatest(F.size(starts) - 1, F.lit(0))),
-            lambda s, k: F.when(F.get(starts, k + 1) - s >= RUN, F.slice(sentences, s + 1, 1)).otherwise(F.slice(sentences, s + 1, F.get(starts, k + 1) - s)),
-        )
-    )
-    return kept
+    n = F.size(sentences)
+    none = F.array(F.lit(None).cast("string"))
+    one, two = F.concat(none, F.slice(low, 1, n)), F.concat(none, none, F.slice(low, 1, n))
+    near = F.arrays_zip(sentences.alias("s"), low.alias("here"), one.alias("one"), two.alias("two"), F.slice(low, 2, n).alias("next"))
+    gone = lambda x: F.coalesce((x["here"] == x["one"]) & (F.coalesce(x["one"] == x["two"], F.lit(False)) | F.coalesce(x["here"] == x["next"], F.lit(False))), F.lit(False))
+    return F.transform(F.filter(near, lambda x: x["here"].isNotNull() & ~gone(x)), lambda x: x["s"])
 
 
 def clean_segments(segments: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def chapters(proposed: DataFrame, chunks: DataFrame) -> DataFrame:
     bounds = chunks.groupBy("lecture_id").agg(F.min("chunk").alias("first"), F.max("chunk").alias("final"))
     one = proposed.groupBy("lecture_id", "start_chunk").agg(F.min("title").alias("title"))
     order = Window.partitionBy("lecture_id").orderBy("start_chunk")
-    kept = one.withColumn("chapter", F.row_number().over(order) - 1).where(F.col("chapter") < ITEM_LIMITS["chapters"])
+    kept = one.withColumn("chapter", (F.row_number().over(order) - 1).cast("long")).where(F.col("chapter") < ITEM_LIMITS["chapters"])
     kept = kept.withColumn("next", F.lead("start_chunk").over(order)).join(bounds, "lecture_id")
     kept = kept.select("lecture_id", "chapter", "title", F.when(F.col("chapter") == 0, F.col("first")).otherwise(F.col("start_chunk")).alias("first_chunk"), F.coalesce(F.col("next") - 1, F.col("final")).alias("last_chunk"))
     s = chunks.select("lecture_id", F.col("chunk").alias("first_chunk"), "start_seconds")

@@ -87,7 +87,7 @@ def rate_limited(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     """events (operation, subject, at, id) with the count in their fixed window, allowed, remaining and retry_after."""
     at = F.unix_timestamp(F.col("at").cast("timestamp"))
     e = events.withColumn("window", F.floor(at / seconds).cast("long"))
-    n = F.row_number().over(Window.partitionBy("operation", "subject", "window").orderBy("at", "id"))
+    n = F.row_number().over(Window.partitionBy("operation", "subject", "window").orderBy("at", "id")).cast("long")
     e = e.withColumn("n", n)
     return e.select(
         "id", "n", (F.col("n") <= limit).alias("allowed"), F.greatest(F.lit(limit) - F.col("n"), F.lit(0)).alias("remaining"), F.greatest(F.lit(1), (F.col("window") + 1) * seconds - at).alias("retry_after")

@@ -38,7 +38,7 @@ def pages(lectures: DataFrame, sort: str, size: int, offset: int = 0) -> DataFra
     """Every owner's page: `place` from 1 on, and `total`, the owner's count before paging.
 
     The count comes from a small aggregate, so that ranking can stop early in each partition."""
-    ranked = lectures.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*sort_columns(sort))))
+    ranked = lectures.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*sort_columns(sort))).cast("long"))
     totals = lectures.groupBy("user_id").agg(F.count("*").alias("total"))
     return ranked.where((F.col("place") > offset) & (F.col("place") <= offset + size)).join(totals, "user_id")
 
@@ -66,7 +66,7 @@ def history(chat_logs: DataFrame, lectures: DataFrame, query: str, size: int) ->
     found = chat_logs.where(F.lower("question").contains(q) | F.coalesce(F.lower("answer").contains(q), F.lit(False)))
     totals = found.groupBy("user_id").agg(F.count("*").alias("total"))
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("question_id"))
-    page = found.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= size)
+    page = found.withColumn("place", F.row_number().over(newest).cast("long")).where(F.col("place") <= size)
     return page.join(lectures.select("lecture_id", "title"), "lecture_id").join(totals, "user_id")
 
 

@@ -31,7 +31,7 @@ def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: b
     near = c.join(F.broadcast(q), fits & (F.col("lecture_id") == F.col("query_lecture")) if own_lecture else fits)
     near = near.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm")), 4)).where("similarity is not null")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "sequence", "chunk_id")
-    return near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model").withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
 
 
 def search_content(queries: DataFrame, chunks: DataFrame, lectures: DataFrame, candidates: int, threshold: float, per_lecture: int, limit: int) -> DataFrame:
@@ -40,7 +40,7 @@ def search_content(queries: DataFrame, chunks: DataFrame, lectures: DataFrame, c
     near = similarities(queries, chunks.join(ready, "lecture_id"), candidates).where(F.col("similarity") >= threshold)
     order = [F.desc("similarity"), F.col("sequence"), F.col("chunk_id")]
     capped = near.withColumn("in_lecture", F.row_number().over(Window.partitionBy("query_id", "lecture_id").orderBy(*order))).where(F.col("in_lecture") <= per_lecture)
-    return capped.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= limit)
+    return capped.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("long")).where(F.col("place") <= limit)
 
 
 def evidence(ranked: DataFrame, threshold: float, budget: int) -> DataFrame:
@@ -49,7 +49,7 @@ def evidence(ranked: DataFrame, threshold: float, budget: int) -> DataFrame:
     kept = ranked.where(F.col("similarity") >= threshold)
     kept = kept.withColumn("used", F.sum("token_estimate").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("nth", F.row_number().over(order))
     kept = kept.where((F.col("used") <= budget) | (F.col("nth") == 1))
-    return kept.withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("sequence", "chunk_id")))
+    return kept.withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("sequence", "chunk_id")).cast("long"))
 
 
 def index_report(chunks: DataFrame, model: str) -> DataFrame:

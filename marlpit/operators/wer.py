@@ -12,23 +12,26 @@ from pyspark.sql import functions as F
 from marlpit.functions.text import spoken
 
 
-def word_edits(reference: Column, hypothesis: Column) -> Column:
-    """Edits between two texts of words separated by single spaces: each distinct word of the pair is named by one character."""
-    a, b = (F.filter(F.split(t, " "), lambda w: w != "") for t in (reference, hypothesis))
-    names = F.array_distinct(F.concat(a, b))
+def word_edits(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """pairs with errors: the edits between two texts of words separated by single spaces. Each distinct word of a pair is named by one character."""
+    cut = pairs.withColumns({"__a": _words(F.col(reference)), "__b": _words(F.col(hypothesis))})
+    cut = cut.withColumn("__names", F.array_distinct(F.concat("__a", "__b")))
 
-    def spelled(words: Column) -> Column:
+    def spelled(words: str) -> Column:
         # Past the surrogates, so that every number is a character.
-        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(names, w) + 0x10000).cast("long")), 8, "0")), "UTF-32BE")), "")
+        return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(F.col("__names"), w) + 0x10000).cast("long")), 8, "0")), "UTF-32")), "")
 
-    return F.levenshtein(spelled(a), spelled(b))
+    return cut.withColumn("errors", F.levenshtein(spelled("__a"), spelled("__b"))).drop("__a", "__b", "__names")
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
 
 
 def error_counts(pairs: DataFrame) -> DataFrame:
     """pairs (id, reference, hypothesis) with errors, n_words, wer, char_errors, n_chars, cer on normalised texts; rates of an empty reference are NULL."""
     p = pairs.withColumns({"r": spoken(F.col("reference")), "h": spoken(F.col("hypothesis"))})
-    n = F.size(F.filter(F.split("r", " "), lambda w: w != ""))
-    p = p.withColumns({"errors": word_edits(F.col("r"), F.col("h")), "n_words": n.cast("long")})
+    p = word_edits(p, "r", "h").withColumn("n_words", F.size(_words(F.col("r"))).cast("long"))
     rc, hc = (F.regexp_replace(c, " ", "") for c in ("r", "h"))
     p = p.withColumns({"char_errors": F.levenshtein(rc, hc), "n_chars": F.length(rc).cast("long")})
     return p.select("id", "errors", "n_words", F.round(F.try_divide(F.col("errors").cast("double"), F.col("n_words")), 6).alias("wer"), "char_errors", "n_chars", F.round(F.try_divide(F.col("char_errors").cast("double"), F.col("n_chars")), 6).alias("cer"))
@@ -40,19 +43,28 @@ def corpus_rates(counts: DataFrame) -> DataFrame:
 
 
 def alignment(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """Substitutions, deletions, insertions of a least alignment; among equals substitution before deletion before insertion."""
-    m = len(hypothesis)
-    cost, kinds = np.arange(m + 1), np.zeros((m + 1, 3), dtype=np.int64)
-    kinds[:, 2] = np.arange(m + 1)
-    for i, word in enumerate(reference, 1):
-        new, ways = np.empty_like(cost), np.empty_like(kinds)
-        new[0], ways[0] = i, (0, i, 0)
-        for j, other in enumerate(hypothesis, 1):
-            options = ((cost[j - 1] + (word != other), kinds[j - 1], (int(word != other), 0, 0)), (cost[j] + 1, kinds[j], (0, 1, 0)), (new[j - 1] + 1, ways[j - 1], (0, 0, 1)))
-            best = min(options, key=lambda o: o[0])
-            new[j], ways[j] = best[0], best[1] + np.array(best[2])
-        cost, kinds = new, ways
-    return tuple(int(x) for x in kinds[m])
+    """Substitutions, deletions, insertions of a least alignment; among equals substitution before deletion before insertion.
+
+    Row by row: a cell that an insertion makes cheaper follows from the last cell to its left that none does."""
+    number: dict[str, int] = {}
+    r, h = (np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64) for words in (reference, hypothesis))
+    at = np.arange(len(h) + 1)
+    cost, kinds = at.copy(), np.zeros((len(h) + 1, 3), dtype=np.int64)
+    kinds[:, 2] = at
+    for word in r:
+        differs = (h != word).astype(np.int64)
+        replaced, deleted = cost[:-1] + differs, cost + 1
+        least = deleted.copy()
+        np.minimum(least[1:], replaced, out=least[1:])
+        ways = kinds + (0, 1, 0)
+        use = np.append(False, replaced <= deleted[1:])
+        ways[use] = kinds[np.flatnonzero(use) - 1]
+        ways[use, 0] += differs[np.flatnonzero(use) - 1]
+        cost = np.minimum.accumulate(least - at) + at
+        source = np.maximum.accumulate(np.where(cost == least, at, 0))
+        kinds = ways[source]
+        kinds[:, 2] += at - source
+    return tuple(int(x) for x in kinds[-1])
 
 
 def edit_breakdown(pairs: DataFrame) -> DataFrame:

@@ -176,8 +176,8 @@ ORACLE_SQL = {
     "correctness": """with r as (select case when doc_id % 2 = 0 then 'human' else 'llm' end as judge_type, doc_id // 7 as question_id, doc_id, case when quality = 1 then 'correct' else 'incorrect' end as label from labels),
       l as (select judge_type, question_id, arg_max(label, doc_id) as label from r group by all) select judge_type, label, count(*) as n from l group by all""",
     "cohen_kappa": """with b as (select cast(quality as varchar) as a, cast(1 - toxic as varchar) as b from labels where doc_id % 5 > 0), n as (select count(*) as n, count(*) filter (where a = b) as same from b),
-      ma as (select a as l, count(*) as na from b group by 1), mb as (select b as l, count(*) as nb from b group by 1), c as (select coalesce(sum(na * nb), 0) as both from ma join mb using (l)),
-      p as (select n, same::double / nullif(n, 0) as po, both::double / nullif(n::double * n, 0) as pe from n, c) select n, round(po, 6) as agreement, round(case when pe < 1 then (po - pe) / (1 - pe) end, 6) as kappa from p""",
+      ma as (select a as l, count(*) as na from b group by 1), mb as (select b as l, count(*) as nb from b group by 1), c as (select coalesce(sum(na * nb), 0) as common from ma join mb using (l)),
+      p as (select n, same::double / nullif(n, 0) as po, common::double / nullif(n::double * n, 0) as pe from n, c) select n, round(po, 6) as agreement, round(case when pe < 1 then (po - pe) / (1 - pe) end, 6) as kappa from p""",
     "latency_summary": f"{with_sql('chat_logs')} select outcome, {_LATENCY.format(v='llm_ms')} from chat_logs group by outcome",
     "question_latency": f"{with_sql('chat_logs')}, u as (select 'llm_ms' as metric, llm_ms as value from chat_logs union all select 'search_ms', search_ms from chat_logs union all select 'latency_ms', latency_ms from chat_logs) select metric, {_LATENCY.format(v='value')} from u group by metric",
     "stage_latency": f"{with_sql('stage_runs')} select stage, {_LATENCY.format(v='duration_ms')} from stage_runs where status = 'succeeded' group by stage",

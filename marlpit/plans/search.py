@@ -91,7 +91,7 @@ def segment_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The segments that contain a text of two characters or more, case aside, with their place."""
     s = t.segments(spark, sf_dir).where(F.trim("raw_text") != "")
-    placed = s.withColumn("place", F.row_number().over(Window.partitionBy("lecture_id").orderBy("sequence")) - 1)
+    placed = s.withColumn("place", F.row_number().over(Window.partitionBy("lecture_id").orderBy("sequence")) - 1).withColumn("place", F.col("place").cast("long"))
     return placed.where(F.lower("raw_text").contains("tion")).select("lecture_id", "sequence", "place")
 
 
