@@ -61,6 +61,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def where_computed(df: DataFrame, condition: str) -> DataFrame:
+    """df.where(condition) that isn't moved below the projection which makes its columns, where they would be made twice."""
+    return df.withColumn("__row", F.monotonically_increasing_id()).where(f"__row >= 0 and ({condition})").drop("__row")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -48,10 +48,25 @@ def line_fails(line: Column, max_boilerplate_words: int = 30) -> Column:
     )
 
 
+def _shifted(array: Column, by: int) -> Column:
+    return F.slice(array, 1 + by, F.size(array))
+
+
 def _repeated_positions(hashes: str) -> Column:
-    """(hash, position) in order of hash, only for documents in which a window repeats."""
-    pairs = F.transform(F.col(hashes), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(pairs)).otherwise(F.filter(pairs, lambda _: F.lit(False)))
+    """Places, in order, of the windows whose hash another window has; looked for only where there are such.
+
+    Arrays are set beside their shifted selves, and no lambda looks at a whole array: that would be made again for every element."""
+    pairs = F.sort_array(F.transform(F.col(hashes), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), pairs).otherwise(F.slice(pairs, 1, 0))
+
+    def again(p):
+        one = p[0]
+        before = F.concat(F.slice(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), 1, 1), one)
+        near = F.arrays_zip(one.alias("here"), before.alias("before"), _shifted(one, 1).alias("after"))
+        met = F.filter(near, lambda x: F.coalesce(x["here"]["h"] == x["before"]["h"], F.lit(False)) | F.coalesce(x["here"]["h"] == x["after"]["h"], F.lit(False)))
+        return F.sort_array(F.transform(met, lambda x: x["here"]["i"]))
+
+    return F.transform(F.array(F.struct(pairs.alias("p"))), lambda x: again([x["p"]]))[0]
 
 
 def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 10, max_repeat_percent: int = 20, min_kept: float = 0.5) -> DataFrame:
@@ -65,13 +80,12 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 10, max_
     out = out.withColumn("__words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, rf"[{ASCII_SPACE}]+")))
     out = out.withColumn("__lines", F.split(body, "\n"))
     n = F.size("__words")
-    windows = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*[F.get(F.col("__words"), i + k) for k in range(5)]))
+    windows = F.arrays_zip(*[_shifted(F.col("__words"), k).alias(f"w{k}") for k in range(5)])
+    windows = F.slice(F.transform(windows, lambda w: F.xxhash64(*[w[f"w{k}"] for k in range(5)])), F.lit(1), n - 4)
     out = out.withColumn("__hashes", F.when(n >= 5, windows).otherwise(F.array().cast("array<bigint>")))
     out = out.withColumn("__worded", F.filter("__lines", lambda x: x.rlike(WORD)))
     out = out.withColumn("__good", F.filter("__lines", lambda x: ~line_fails(x)))
-    out = out.withColumn("__sorted", _repeated_positions("__hashes"))
-    again = F.filter("__sorted", lambda x, k: (F.get(F.col("__sorted"), k - 1)["h"] == x["h"]) | F.coalesce(F.get(F.col("__sorted"), k + 1)["h"] == x["h"], F.lit(False)))
-    out = out.withColumn("__starts", F.sort_array(F.transform(again, lambda x: x["i"])))
+    out = out.withColumn("__starts", _repeated_positions("__hashes"))
     covered = F.aggregate(
         "__starts",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -92,4 +106,4 @@ def quality_rules(docs: DataFrame, text: str = "text", min_words: int = 10, max_
     out = out.withColumn("kept_words", count_matches(F.col("clean_text"), WORD).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= F.lit(min_kept) * F.col("n_words")))
-    return out.drop("__words", "__lines", "__hashes", "__worded", "__good", "__sorted", "__starts")
+    return out.drop("__words", "__lines", "__hashes", "__worded", "__good", "__starts")
