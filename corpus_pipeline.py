@@ -11,8 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlpit import ship
 from marlpit.llm import bpe, line_dedup, minhash, mixing, quality
-from marlpit.llm.common import Scratch, read_table
+from marlpit.llm.common import Scratch, read_table, where_computed
 
 
 def _with_text(out: DataFrame, text, columns: list[str]) -> DataFrame:
@@ -23,17 +24,19 @@ def _with_text(out: DataFrame, text, columns: list[str]) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without their failing lines."""
-    return _with_text(quality.quality_rules(docs).where("kept"), F.col("clean_text"), docs.columns)
+    return _with_text(where_computed(quality.quality_rules(docs), "kept"), F.col("clean_text"), docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that their last holder keeps for them; documents left without text go."""
+    ship(spark)
     out = _with_text(line_dedup.dedup_lines(docs), F.col("text"), docs.columns)
     return out.where(F.btrim("text", F.lit(quality.SPACES)) != "")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id in every group."""
+    ship(spark)
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -46,6 +49,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (unsigned 32-bit little-endian) and whether decoding gives the text back."""
+    ship(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     back = bpe.decode(bpe.encode(docs.select("doc_id", "text"), ranks, pattern, offsets=False), ranks, pattern)
     return back.select("doc_id", "n_tokens", "ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
