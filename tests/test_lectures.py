@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -150,9 +151,17 @@ def test_streams(spark, tmp_path):
     source = f"{tmp_path}/in"
     spark.createDataFrame([(1, "enqueue", ""), (1, "claim", "a"), (2, "claim", "b"), (2, "finish", "b")], "job_id long, command string, owner string").coalesce(1).write.parquet(source)
     stream = spark.readStream.schema("job_id long, command string, owner string").parquet(source)
-    q = live.leases(stream, 3, 60_000).writeStream.format("memory").queryName("leases").outputMode("update").trigger(availableNow=True).start()
-    assert q.awaitTermination(60)
-    assert {(r.job_id, r.status) for r in spark.table("leases").collect()} == {(1, "running"), (2, "succeeded")}
+    # Leases that can run out keep a stream at work, so it is watched and stopped.
+    q = live.leases(stream, 3, 600_000).writeStream.format("memory").queryName("leases").outputMode("update").trigger(processingTime="1 second").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            found = {(r.job_id, r.status) for r in spark.table("leases").collect()}
+            if len(found) == 2:
+                break
+        assert found == {(1, "running"), (2, "succeeded")}
+    finally:
+        q.stop()
 
 
 def test_without_training_data_operators():
