@@ -221,6 +221,30 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert got == {i: (low[i], low[i] == i) for i in low}
 
 
+def test_counts_of_all_shingles_are_exact(spark, docs, monkeypatch):
+    monkeypatch.setattr(minhash, "LEAST_BLOCK", 500)
+    monkeypatch.setattr(minhash, "LEAST_RANGE", 800)
+    df = {}
+    for _, text, _ in DOCUMENTS:
+        for s in shingle_weights(text, None, 0):
+            df[s] = df.get(s, 0) + 1
+    dealt, n, ranges = minhash._dealt(docs)
+    assert n == len(DOCUMENTS) and ranges > 10 and dealt.select("block").distinct().count() > 10
+    got = {r.doc_id: sorted(minhash.unpack(r.df, np.uint32).tolist()) for r in minhash.signatures(dealt, n, ranges).collect()}
+    assert got == {i: sorted(df[s] for s in shingle_weights(t, None, 0)) for i, t, _ in DOCUMENTS}
+
+
+def test_shared_passage_weighs_less_than_rare_text(spark):
+    rng = random.Random(5)
+    passage = text_of(rng, 204)
+    rows = [(i, passage + "".join(f" own{i}x{k}" for k in range(24))) for i in range(4)] + [(i, f"filler {i} has seven words of its own") for i in range(4, 400)]
+    # With every count below 4 taken as 4, the similarity of the four would be 200 / 248.
+    w = 1 + np.log(400) / np.log(100)
+    assert 400 / (400 + 48 * w) < 0.79 and 200 / 248 > 0.8
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert out.where("not kept").isEmpty()
+
+
 def test_sampling_agrees_at_the_similarity():
     rng = np.random.default_rng(8)
     keys = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
