@@ -245,6 +245,28 @@ def test_shared_passage_weighs_less_than_rare_text(spark):
     assert out.where("not kept").isEmpty()
 
 
+def test_driver_gets_no_shingles(spark, monkeypatch):
+    # Forty copies of one text: every shingle of it is common, and was named to the driver.
+    text = text_of(random.Random(6), 300)
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").repartition(4)
+    rows, kind = [], type(docs)
+    collect, stream = kind.collect, kind.toLocalIterator
+
+    def collected(self):
+        rows.extend(out := collect(self))
+        return out
+
+    def streamed(self, *a, **b):
+        out = list(stream(self, *a, **b))
+        rows.extend(out)
+        return iter(out)
+
+    monkeypatch.setattr(kind, "collect", collected)
+    monkeypatch.setattr(kind, "toLocalIterator", streamed)
+    assert minhash.near_duplicates(docs).where("kept").count() == 1
+    assert len(rows) < 40
+
+
 def test_sampling_agrees_at_the_similarity():
     rng = np.random.default_rng(8)
     keys = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
