@@ -441,6 +441,16 @@ def test_token_store(spark, docs):
     assert hashlib.sha256(bytes(dictionary.data)).hexdigest() == dictionary.sha256
 
 
+def test_special_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>", "<|endoftext|><|endoftext|>", "<|endof text|>"]
+    plain = Tokenizer.from_file(WORDS_FILE)
+    own = token_store.WordEncoder(WORDS_FILE, 2)
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, own.kind).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+
+
 # 10
 
 
