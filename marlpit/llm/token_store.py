@@ -30,8 +30,9 @@ from marlpit.llm.sharding import order_ranges, range_offsets
 
 SLICE = 256
 MAX_WORDS = 500_000
-#: The dictionary is trained on the documents of lowest hash, so many at most; its size in bytes at most.
-SAMPLE_DOCUMENTS, DICTIONARY_BYTES = 1500, 112_640
+#: The dictionary is trained on the documents of lowest hash, so many at most, cut into pieces of so many bytes, and of these on
+#: the pieces of lowest hash, so many at most; its size in bytes at most.
+SAMPLE_DOCUMENTS, PIECE_BYTES, SAMPLE_PIECES, DICTIONARY_BYTES = 1500, 1 << 16, 2048, 112_640
 BLOCK_BYTES, BLOCK_DOCUMENTS = 2 << 20, 4096
 BLOCKS = "range int, block int, dictionary_sha256 string, payload binary, index array<struct<doc_id:bigint,offset:int,length:int,n_tokens:int>>"
 
@@ -98,10 +99,15 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
-    """A dictionary from at most SAMPLE_DOCUMENTS documents of lowest hash; empty if these are too few to train on."""
+    """A dictionary from at most SAMPLE_DOCUMENTS documents of lowest hash; empty if these are too few to train on.
+
+    Their ids are cut into pieces of PIECE_BYTES. All pieces are taken, or the SAMPLE_PIECES of lowest hash if there are more:
+    they come from any part of a document, and are at most 128 MiB on the driver."""
     few = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
-    ids = encode_ids(few, path, end_id).select(F.substring("ids", 1, 1 << 16).alias("ids"))
-    samples = [bytes(r.ids) for r in ids.toLocalIterator()]
+    ids = encode_ids(few, path, end_id).select("doc_id", "ids", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("ids") - 1) / PIECE_BYTES).cast("int"))).alias("piece"))
+    pieces = ids.select("doc_id", "piece", F.substring("ids", F.col("piece") * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias("ids"))
+    pieces = pieces.orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids").limit(SAMPLE_PIECES)
+    samples = [bytes(r.ids) for r in pieces.toLocalIterator()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:

@@ -451,6 +451,16 @@ def test_special_tokens_are_those_of_the_library():
         assert np.frombuffer(ids, own.kind).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
 
 
+def test_dictionary_learns_from_whole_documents(spark, monkeypatch):
+    rows = [(1, text_of(random.Random(9), 50_000)), (2, "a b c"), (3, "")]
+    seen = []
+    monkeypatch.setattr(token_store.zstandard, "train_dictionary", lambda size, samples: seen.extend(samples) or token_store.zstandard.ZstdCompressionDict(b""))
+    token_store.train_dictionary(spark.createDataFrame(rows, "doc_id long, text string"), WORDS_FILE, 2)
+    whole = token_store.WordEncoder(WORDS_FILE, 2).encode([t for _, t in rows])
+    assert len(whole[0]) > 2 * token_store.PIECE_BYTES
+    assert sorted(seen) == sorted(w[i : i + token_store.PIECE_BYTES] for w in whole for i in range(0, len(w), token_store.PIECE_BYTES))
+
+
 # 10
 
 
