@@ -28,9 +28,14 @@ def op3_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     out = chat.format_conversations(turns.unionByName(extra))
-    back = out.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), chat.read_turns(F.col("formatted")).alias("turns"), chat.read_losses(F.col("formatted"), F.col("examples")).alias("losses"), "examples")
+    back = out.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), chat.read_turns(F.col("formatted")).alias("turns"))
+    # The losses are read from the examples themselves, a row for each; their contexts go no further.
+    examples = chat.expand_examples(out)
+    losses = examples.select("conv_id", "example_no", chat.unescape(F.substring("text", F.col("loss_start") + 1, F.col("loss_chars"))).alias("loss"))
+    losses = losses.groupBy(F.col("conv_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("example_no", "loss"))).alias("losses"))
+    back = back.join(losses, F.col("conv_id").eqNullSafe(F.col("of")), "left")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("losses", "")
+    loss = F.coalesce(F.array_join("losses.loss", ""), F.lit(""))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -38,7 +43,7 @@ def op3_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
-        F.size("examples").cast("long").alias("n_examples"),
+        F.when(F.col("losses").isNull(), 0).otherwise(F.size("losses")).cast("long").alias("n_examples"),
     )
 
 

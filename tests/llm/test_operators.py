@@ -186,6 +186,19 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.where("turn > 99")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_chat_query_reads_its_examples(spark, monkeypatch):
+    whole = {r.conv_id: r for r in queries.op3_chat_prefix_targets(spark, SF).collect()}
+    expand = chat.expand_examples
+    monkeypatch.setattr(chat, "expand_examples", lambda formatted: expand(formatted).where("example_no > 0"))
+    less = {r.conv_id: r.n_examples for r in queries.op3_chat_prefix_targets(spark, SF).collect()}
+    assert len(whole) > 10 and less == {c: max(r.n_examples - 1, 0) for c, r in whole.items()}
+    turns = spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    for r in turns.collect():
+        loss = "".join(t.text or "" for t in r.t)
+        assert (whole[r.conv_id].loss_chars, whole[r.conv_id].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 # 4
 
 
