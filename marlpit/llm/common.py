@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as a character class body for Java and Python patterns.
 ASCII_SPACE = r"\x20\x09-\x0D"
+#: Spark's own switch for the shuffle files of a finished SQL execution.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, one is made for local masters; clusters must name one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="marlpit-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = _local_dir()
     return path.rstrip("/")
 
 
+@lru_cache(1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="marlpit-")
+
+
 class Scratch:
     """Intermediate tables written to the shared folder: they cut lineage and outlive lost executors.
 
@@ -41,10 +51,16 @@ class Scratch:
         return fs, p
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and reads it back."""
+        """Writes df as Parquet and reads it back. Once it is written, the shuffle files of that write go."""
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         schema = df.schema
-        df.write.parquet(path)
+        conf = self.spark.conf
+        before = conf.get(SHUFFLE_CLEANUP, "false")
+        conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out

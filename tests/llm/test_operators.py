@@ -234,17 +234,54 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert got == {i: (low[i], low[i] == i) for i in low}
 
 
-def test_counts_of_all_shingles_are_exact(spark, docs, monkeypatch):
-    monkeypatch.setattr(minhash, "LEAST_BLOCK", 500)
-    monkeypatch.setattr(minhash, "LEAST_RANGE", 800)
+def test_counts_of_all_shingles_are_exact(spark, docs):
     df = {}
     for _, text, _ in DOCUMENTS:
         for s in shingle_weights(text, None, 0):
             df[s] = df.get(s, 0) + 1
-    dealt, n, ranges = minhash._dealt(docs)
-    assert n == len(DOCUMENTS) and ranges > 10 and dealt.select("block").distinct().count() > 10
-    got = {r.doc_id: sorted(minhash.unpack(r.df, np.uint32).tolist()) for r in minhash.signatures(dealt, n, ranges).collect()}
-    assert got == {i: sorted(df[s] for s in shingle_weights(t, None, 0)) for i, t, _ in DOCUMENTS}
+    blocks = minhash.pack_documents(docs, block_bytes=1500).cache()
+    held = {r.block: r for r in blocks.collect()}
+    assert sum(r.rows for r in held.values()) == len(DOCUMENTS) and len(held) > 10
+    got = {}
+    for r in minhash.document_counts(blocks, 9).collect():
+        got.setdefault(r.block, []).extend(minhash.unpack(r.df, np.uint32).tolist())
+    for block, r in held.items():
+        own = {s for t in minhash._opened(r.data)[1] for s in shingle_weights(t, None, 0)}
+        assert sorted(got.get(block, [])) == sorted(df[s] for s in own)
+
+
+def test_texts_that_cannot_have_a_partner():
+    w = np.array([1.0, 1.0, 1.0, 1.0, 1.0, 5.0])
+    assert minhash.lone_until(np.array([1, 1, 2, 9, 9, 9], dtype=np.uint32), w * 0 + 1) == 1
+    assert minhash.lone_until(np.array([1, 1, 2, 9, 9, 9], dtype=np.uint32), w) == 2
+    assert minhash.lone_until(np.array([3, 3, 3, 3, 3, 3], dtype=np.uint32), w) == 3
+
+
+def test_a_large_group_of_near_copies(spark):
+    # Copies of one text with so many words changed that some pairs are similar enough and others aren't.
+    rng = random.Random(9)
+    base = text_of(rng, 400).split(" ")
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for _ in range(rng.randrange(2, 9)):
+            words[rng.randrange(400)] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(i, text_of(rng, 60)) for i in range(250, 400)]
+    df, n = {}, len(rows)
+    for _, t in rows:
+        for s in shingle_weights(t, None, 0):
+            df[s] = df.get(s, 0) + 1
+    sets = [{s: c * (1 + np.log(n / df[s]) / np.log(100)) for s, c in shingle_weights(t, None, 0).items()} for _, t in rows]
+    total = [sum(s.values()) for s in sets]
+    links = []
+    for i in range(250):
+        for j in range(i):
+            least = sum(min(w, sets[j][s]) for s, w in sets[i].items() if s in sets[j])
+            links += [(i, j)] * bool(least >= 0.8 * (total[i] + total[j] - least))
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert 500 < len(links) < 250 * 249 // 2 and sum(found[i] == found[j] for i, j in links) >= 0.9 * len(links)
+    assert all(found[i] == i for i in range(250, 400))
 
 
 def test_shared_passage_weighs_less_than_rare_text(spark):
