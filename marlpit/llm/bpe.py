@@ -2,12 +2,12 @@
 
 The tokenizers library merges; the ranks give its merges, and its byte table spells bytes as characters. A text is cut
 before every space that follows a character other than white space: no match of the pattern crosses such a place, so the
-pieces can be encoded one by one, and a worker keeps the ids of pieces it has met, up to a fixed number of them. Decoding
+pieces can be encoded one by one, and a worker keeps the ids of short pieces it has met, up to a fixed number. Decoding
 looks the ids up in the byte table and joins the bytes, so that characters split over tokens come back whole.
 
 Defined results for odd input: a null or empty text has no tokens; repeated rows are encoded each on its own; other
-columns pass through, except those named like the results; an empty table gives no rows. Memory holds one slice of SLICE
-documents at a time.
+columns pass through, except those named like the results; an empty table gives no rows; a very long text is encoded
+whole. A worker holds one of Spark's Arrow batches, and the ids of SLICE documents of it at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SLICE = 128
-MAX_PIECES = 400_000
+#: A worker keeps the ids of so many pieces, none longer than LONG characters.
+MAX_PIECES, LONG = 400_000, 64
 #: The special words of the GPT-2 byte table: these bytes stand for themselves, the others for characters from 256 on.
 PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
@@ -87,13 +88,18 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.split(t) if t else [] for t in texts]
-        new = {p for pieces in cut for p in pieces}.difference(self.pieces)
+        found = {p for pieces in cut for p in pieces}
+        long = {p for p in found if len(p) > LONG}
+        new = found.difference(self.pieces)
         if len(self.pieces) + len(new) > MAX_PIECES:
             self.pieces.clear()
-            new = {p for pieces in cut for p in pieces}
+            new = found
         self._learn(list(new))
         get = self.pieces.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        out = [b"".join(map(get, pieces)) for pieces in cut]
+        for p in long:
+            del self.pieces[p]
+        return out
 
     def _learn(self, new: list[str]) -> None:
         """Encodes new pieces; those that begin with a space and end in something else can stand in one text, each found again by offsets."""
