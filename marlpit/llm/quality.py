@@ -1,7 +1,7 @@
 """Quality rules, line first: failing lines go, then documents that lose too much text.
 
 A map over documents: no shuffle, no Python. Defined results for odd input: a null or empty text has no words, fails the
-base rules and is not kept; repeated rows are judged each on their own; other columns pass through, except that columns
+base rules and is not kept; repeated rows are judged each on their own; very long texts are judged whole, in time that grows with their length; other columns pass through, except that columns
 named like the results are replaced.
 """
 
@@ -15,11 +15,14 @@ from marlpit.llm.common import ASCII_SPACE
 WORD = rf"[^{ASCII_SPACE}]+"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOL = r"[#*$%&|<>]"
-#: Phrases of boilerplate lines, matched in lower case.
+#: Phrases of boilerplate lines in English, French, German and Spanish, matched in lower case.
 BOILERPLATE = (
     r"cookie policy|use of cookies|accept cookies|privacy policy|terms of (use|service)|all rights reserved|"
     r"enable javascript|lorem ipsum|click here|sign up for our newsletter|subscribe to our newsletter|"
-    r"licensed under the|under the (mit|bsd|apache|gpl) license"
+    r"licensed under the|under the (mit|bsd|apache|gpl) license|"
+    r"politique de confidentialité|conditions d.utilisation|utilisation de(s)? cookies|tous droits réservés|cliquez ici|abonnez-vous à|activez javascript|"
+    r"datenschutzerklärung|nutzungsbedingungen|verwendung von cookies|alle rechte vorbehalten|hier klicken|newsletter abonnieren|javascript aktivieren|"
+    r"política de privacidad|(condiciones|términos) de uso|uso de cookies|todos los derechos reservados|haga clic aquí|suscríbase a|active javascript"
 )
 #: What a base column is called here and nowhere in a document table.
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "kept_words", "clean_text"]
