@@ -13,7 +13,7 @@ E_VALUE times in a clean document of that length are its passages. The best segm
 passages' log E-values go into a logistic curve fitted on the sample.
 
 Defined results for odd input: null and empty texts have no words and get the score of a document without passages; a model without
-both classes gives all documents the share of toxic labels; repeated rows are scored each; a doc_id with several
+both classes gives all documents the share of toxic labels; repeated rows are scored each; a very long text is scored whole, in one pass; a doc_id with several
 labels counts as toxic if one says so; an empty table gives no rows; other columns pass through, except those named like the results.
 """
 
@@ -209,18 +209,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         shares = (clean + PRIOR_SHARE * (toxic + clean)) / (total.clean + PRIOR_SHARE * all_words)
         model.decay = decay_rate(np.append(ratio, 0.0) - DRIFT, np.append(shares, max(0.0, 1 - shares.sum())))
 
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for text, is_toxic in zip(_each_text(batch.column(0)), batch.column(1).to_pylist()):
-                    words = WORD.findall(fold(text))
-                    rows.append((len(words), [s for s, *_ in model.segments(words)], is_toxic))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.list_(pa.float64()), pa.bool_()))], names=["n", "scores", "toxic"])
+        def measure(of) -> list:
+            """of(segments, number of words), two numbers, and the label of each text."""
 
-        rows = sample.mapInArrow(best, "n long, scores array<double>, toxic boolean").collect()
-        tops = [(r.n, max(r.scores, default=0.0)) for r in rows if not r.toxic]
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    words = [WORD.findall(fold(text)) for text in _each_text(batch.column(0))]
+                    pairs = [of(model.segments(w), len(w)) for w in words]
+                    yield pa.RecordBatch.from_arrays([pa.array([float(p[k]) for p in pairs], pa.float64()) for k in (0, 1)] + [batch.column(1)], names=["x", "y", "toxic"])
+
+            return sample.mapInArrow(run, "x double, y double, toxic boolean").collect()
+
+        tops = [(r.x, r.y) for r in measure(lambda segments, k: (k, max((s for s, *_ in segments), default=0.0))) if not r.toxic]
         model.log_k = math.log(len(tops) / max(1e-300, sum(max(k, 1) * math.exp(-min(model.decay * s, 600)) for k, s in tops)))
-        x = np.array([[1.0, *map(math.log1p, model.features([(s, 0, 0) for s in r.scores], r.n))] for r in rows])
+        rows = measure(model.features)
+        x = np.array([[1.0, math.log1p(r.x), math.log1p(r.y)] for r in rows])
         model.curve = tuple(map(float, logistic(x, np.array([float(r.toxic) for r in rows]))))
         return model
     finally:
