@@ -7,7 +7,7 @@ Blocks in order of (range, block) hold the documents in ascending order of doc_i
 frame out of the payload; a reader refuses blocks whose dictionary hash isn't the dictionary's.
 
 Defined results for odd input: a null or empty text has only the end id; null doc_ids come first; repeated rows are stored
-each, in order of their frames; other columns aren't stored; an empty table gives no blocks.
+each, in order of their frames; a very long text is one frame, in a block of its own; other columns aren't stored; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -29,7 +29,8 @@ from marlpit.llm.common import shuffle_width
 from marlpit.llm.sharding import order_ranges, range_offsets
 
 SLICE = 256
-MAX_WORDS = 500_000
+#: A worker keeps the ids of so many words, none longer than LONG bytes.
+MAX_WORDS, LONG = 400_000, 64
 #: The dictionary is trained on the documents of lowest hash, so many at most, cut into pieces of so many bytes, and of these on
 #: the pieces of lowest hash, so many at most; its size in bytes at most.
 SAMPLE_DOCUMENTS, PIECE_BYTES, SAMPLE_PIECES, DICTIONARY_BYTES = 1500, 1 << 16, 2048, 112_640
@@ -51,13 +52,18 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.encode().split() for t in texts]
-        new = {w for words in cut for w in words}.difference(self.words)
+        words = {w for part in cut for w in part}
+        long = {w for w in words if len(w) > LONG}
+        new = words.difference(self.words)
         if len(self.words) + len(new) > MAX_WORDS:
             self.words.clear()
-            new = {w for words in cut for w in words}
+            new = words
         self._learn(list(new))
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in cut]
+        out = [b"".join(map(get, part)) + self.end for part in cut]
+        for w in long:
+            del self.words[w]
+        return out
 
     def _learn(self, new: list[bytes]) -> None:
         """Many words in one text, told apart by the offsets of their tokens."""
@@ -101,9 +107,11 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A dictionary from at most SAMPLE_DOCUMENTS documents of lowest hash; empty if these are too few to train on.
 
+    Their ids are chosen first, on doc_id alone, and only their texts go further, one for each doc_id.
     Their ids are cut into pieces of PIECE_BYTES. All pieces are taken, or the SAMPLE_PIECES of lowest hash if there are more:
     they come from any part of a document, and are at most 128 MiB on the driver."""
-    few = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
+    few = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     ids = encode_ids(few, path, end_id).select("doc_id", "ids", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("ids") - 1) / PIECE_BYTES).cast("int"))).alias("piece"))
     pieces = ids.select("doc_id", "piece", F.substring("ids", F.col("piece") * PIECE_BYTES + 1, F.lit(PIECE_BYTES)).alias("ids"))
     pieces = pieces.orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids").limit(SAMPLE_PIECES)
