@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marlpit.schema import FILLERS, STOP_WORDS
 
 
+def normal_form(text: Column, form: str) -> Column:
+    """Unicode normal form, for which Spark has no function: Arrow batches, looked into only where they aren't ASCII.
+    (Arrow's own utf8_normalize decomposes what it should compose.)"""
+
+    @F.arrow_udf("string")
+    def normal(x: pa.Array) -> pa.Array:
+        if pc.all(pc.string_is_ascii(x), skip_nulls=True).as_py() is not False:
+            return x
+        return pa.array([v and unicodedata.normalize(form, v) for v in x.to_pylist()], pa.string())
+
+    return normal(text)
+
+
+def cut_text(text: Column, limit: int) -> Column:
+    """White space squeezed, then cut."""
+    return F.substring(squeeze(F.coalesce(text, F.lit(""))), 1, limit)
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -22,8 +44,8 @@ def estimate_tokens(text: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """One space between words, none before closing or after opening punctuation."""
-    out = squeeze(F.coalesce(text, F.lit("")))
+    """Composed characters, one space between words, none before closing or after opening punctuation."""
+    out = squeeze(normal_form(F.coalesce(text, F.lit("")), "NFC"))
     out = F.regexp_replace(out, r"\s+([,.;:!?%)\]])", "$1")
     return F.regexp_replace(out, r"([(\[])\s+", "$1")
 
@@ -67,12 +89,10 @@ def like_pattern(query: str) -> str:
 
 
 def spoken(text: Column) -> Column:
-    """Words as a transcript comparison sees them: lower case, no bracketed remarks, punctuation or fillers.
-
-    Compatibility forms (full-width letters and the like) aren't unified: see the README."""
-    out = F.lower(F.translate(F.coalesce(text, F.lit("")), "’‘“”", "''\"\""))
+    """Words as a transcript comparison sees them: compatibility forms unified, lower case, no bracketed remarks, other
+    punctuation a space, no quotes around words, no fillers."""
+    out = F.lower(F.translate(normal_form(F.coalesce(text, F.lit("")), "NFKC"), "’‘ʼ`", "''''"))
     out = F.regexp_replace(out, r"\[[^\]]*\]|\([^)]*\)", " ")
-    out = F.regexp_replace(out, r"[-/–—]", " ")
-    out = F.regexp_replace(out, r"[\p{P}\p{S}&&[^']]", "")
+    out = F.regexp_replace(out, r"[\p{P}\p{S}&&[^']]", " ")
     words = F.transform(F.split(squeeze(out), " "), lambda w: F.btrim(w, F.lit("'")))
     return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(FILLERS)), " ")

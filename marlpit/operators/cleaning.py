@@ -41,11 +41,11 @@ def clean_segments(segments: DataFrame) -> DataFrame:
     closed = F.last(F.when(F.col("reason") == "kept", tx.ends_sentence(F.col("cleaned"))), ignorenulls=True).over(order)
     text = F.when(F.coalesce(closed, F.lit(True)), tx.capitalise(F.col("cleaned"))).otherwise(F.col("cleaned"))
     out = out.withColumn("text", F.when(F.col("reason") == "kept", text).otherwise(""))
-    return out.select("lecture_id", "sequence", "start_seconds", "end_seconds", "raw_text", "text", "reason", F.when(F.col("reason").isin("kept", "duplicate"), F.col("n_collapsed")).otherwise(0).alias("n_collapsed"))
+    return out.select("lecture_id", "sequence", "start_seconds", "end_seconds", "raw_text", "text", "reason", F.when(F.col("reason") != "non_speech", F.col("n_collapsed")).otherwise(0).alias("n_collapsed"))
 
 
 def cleaning_counts(cleaned: DataFrame) -> DataFrame:
-    changed = (F.col("reason") == "kept") & (F.col("text") != F.trim("raw_text"))
+    changed = (F.col("reason") == "kept") & (F.col("text") != F.regexp_replace("raw_text", r"(?U)^\s+|\s+$", ""))
     return cleaned.groupBy("lecture_id").agg(
         F.count("*").alias("n_segments"),
         *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("kept", "duplicate", "non_speech", "empty")],

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlpit.schema import ITEM_LIMITS
+from marlpit.functions.text import cut_text, squeeze
+from marlpit.schema import ITEM_LIMITS, SUMMARY_LEAST, SUMMARY_MOST, TEXT_LIMITS
 
 
 def references(raw: Column, n_chunks: Column) -> Column:
@@ -13,38 +14,56 @@ def references(raw: Column, n_chunks: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(raw, lambda x: x.try_cast("int")), lambda x: x.between(0, n_chunks - 1))))
 
 
-def occurs(term: Column, text: Column) -> Column:
-    return (F.length(F.trim(term)) > 0) & F.contains(F.lower(text), F.lower(F.trim(term)))
-
-
 def ground_items(items: DataFrame, lectures: DataFrame) -> DataFrame:
     """items (lecture_id, kind, position, term, raw_refs), lectures (lecture_id, n_chunks, text): items that stay, capped by kind.
 
-    Without a valid reference an item goes, but for keywords, which need none. Definitions are capped before their term is
-    looked for in the text, keywords after, and keywords are unique but for case."""
-    met = items.join(lectures, "lecture_id").withColumn("refs", references(F.col("raw_refs"), F.col("n_chunks")))
+    Terms are squeezed and cut to their kind's limit; without a term an item goes, and without a valid reference, but for
+    keywords, which need none. Definitions are capped before their term is looked for in the text, keywords after, and
+    keywords are unique but for case. A term is looked for once in a lecture, and no text goes through a window."""
+    limit = F.create_map(*[x for k, v in TEXT_LIMITS.items() for x in (F.lit(k), F.lit(v))])
+    cut = items.withColumn("term", F.substring(squeeze(F.coalesce("term", F.lit(""))), F.lit(1), limit[F.col("kind")])).where("term <> ''")
+    met = cut.join(lectures.select("lecture_id", "n_chunks"), "lecture_id").withColumn("refs", references(F.col("raw_refs"), F.col("n_chunks")))
     cited = met.where((F.col("kind") == "keywords") | (F.size("refs") > 0))
+    low = F.lower("term").alias("low")
+    asked = cut.where(F.col("kind").isin("keywords", "definitions")).select("lecture_id", low).distinct()
+    found = asked.join(lectures.select("lecture_id", F.lower("text").alias("text")), "lecture_id").where(F.contains("text", "low")).select("lecture_id", "low")
     order = Window.partitionBy("lecture_id", "kind").orderBy("position")
     cap = F.create_map(*[x for k, v in ITEM_LIMITS.items() for x in (F.lit(k), F.lit(v))])
-    others = cited.where("kind <> 'keywords'").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap[F.col("kind")])
-    others = others.where((F.col("kind") != "definitions") | occurs(F.col("term"), F.col("text")))
-    words = cited.where("kind = 'keywords'").where(occurs(F.col("term"), F.col("text")))
-    first = Window.partitionBy("lecture_id", F.lower("term")).orderBy("position")
+    others = cited.where("kind <> 'keywords'").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap[F.col("kind")]).withColumn("low", low)
+    defined = others.where("kind = 'definitions'").join(found, ["lecture_id", "low"], "left_semi")
+    words = cited.where("kind = 'keywords'").withColumn("low", low).join(found, ["lecture_id", "low"], "left_semi")
+    first = Window.partitionBy("lecture_id", "low").orderBy("position")
     words = words.withColumn("nth", F.row_number().over(first)).where("nth = 1").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ITEM_LIMITS["keywords"])
-    return others.unionByName(words).select("lecture_id", "kind", "position", "term", "refs")
+    kept = ["lecture_id", "kind", "position", "term", "refs"]
+    return others.where("kind <> 'definitions'").select(kept).union(defined.select(kept)).union(words.select(kept))
+
+
+def summaries(generated: DataFrame) -> DataFrame:
+    """generated (lecture_id, summary) with the summary cut; those too short are dropped, as their whole result is refused."""
+    s = F.regexp_replace(F.coalesce("summary", F.lit("")), r"(?U)^\s+|\s+$", "")
+    return generated.withColumn("summary", s).where(F.length("summary") >= SUMMARY_LEAST).withColumn("summary", F.substring("summary", 1, SUMMARY_MOST))
+
+
+def dropped_counts(items: DataFrame, kept: DataFrame) -> DataFrame:
+    """(lecture_id, kind, n_dropped, n_kept): what grounding dropped, by position of each kind."""
+    here = kept.select("lecture_id", "kind", "position", F.lit(1).alias("stays"))
+    return items.join(here, ["lecture_id", "kind", "position"], "left").groupBy("lecture_id", "kind").agg(F.count_if(F.col("stays").isNull()).alias("n_dropped"), F.count("stays").alias("n_kept"))
 
 
 def chapters(proposed: DataFrame, chunks: DataFrame) -> DataFrame:
     """proposed (lecture_id, start_chunk, title), chunks (lecture_id, chunk, start_seconds, end_seconds): at most 15 chapters.
 
-    The first proposal for a start wins; the first kept chapter begins with the first chunk; each ends before the next, the
-    last with the last chunk."""
+    Proposals without a title, or whose start is no chunk, go first. Of those with one start the least title wins; the first
+    kept chapter begins with the first chunk; each ends with the chunk before the next one's start, the last with the last."""
+    by_chunk = Window.partitionBy("lecture_id").orderBy("chunk")
+    placed = chunks.select("lecture_id", "chunk", F.lag("chunk").over(by_chunk).alias("previous"))
     bounds = chunks.groupBy("lecture_id").agg(F.min("chunk").alias("first"), F.max("chunk").alias("final"))
-    one = proposed.groupBy("lecture_id", "start_chunk").agg(F.min("title").alias("title"))
+    titled = proposed.withColumn("title", cut_text(F.col("title"), TEXT_LIMITS["chapters"])).where("title <> ''")
+    one = titled.groupBy("lecture_id", "start_chunk").agg(F.min("title").alias("title")).join(placed.withColumnRenamed("chunk", "start_chunk"), ["lecture_id", "start_chunk"])
     order = Window.partitionBy("lecture_id").orderBy("start_chunk")
     kept = one.withColumn("chapter", (F.row_number().over(order) - 1).cast("long")).where(F.col("chapter") < ITEM_LIMITS["chapters"])
-    kept = kept.withColumn("next", F.lead("start_chunk").over(order)).join(bounds, "lecture_id")
-    kept = kept.select("lecture_id", "chapter", "title", F.when(F.col("chapter") == 0, F.col("first")).otherwise(F.col("start_chunk")).alias("first_chunk"), F.coalesce(F.col("next") - 1, F.col("final")).alias("last_chunk"))
+    kept = kept.withColumn("before_next", F.lead("previous").over(order)).join(bounds, "lecture_id")
+    kept = kept.select("lecture_id", "chapter", "title", F.when(F.col("chapter") == 0, F.col("first")).otherwise(F.col("start_chunk")).alias("first_chunk"), F.coalesce("before_next", "final").alias("last_chunk"))
     s = chunks.select("lecture_id", F.col("chunk").alias("first_chunk"), "start_seconds")
     e = chunks.select("lecture_id", F.col("chunk").alias("last_chunk"), "end_seconds")
     return kept.join(s, ["lecture_id", "first_chunk"]).join(e, ["lecture_id", "last_chunk"])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.functions.text import like_pattern
-from marlpit.schema import FINAL_STATUSES
+from marlpit.schema import FINAL_STATUSES, READY_SHOWN
 
 #: Orders of the library; ties end on the id.
 SORTS = {
@@ -70,11 +70,16 @@ def history(chat_logs: DataFrame, lectures: DataFrame, query: str, size: int) ->
     return page.join(lectures.select("lecture_id", "title"), "lecture_id").join(totals, "user_id")
 
 
-def dashboard(lectures: DataFrame) -> DataFrame:
+def dashboard(lectures: DataFrame, questions: DataFrame, shown: int = READY_SHOWN) -> DataFrame:
+    """Counts of every owner. ready_seconds is of the `shown` newest READY lectures; ready_is_partial says that there are more."""
     ready = F.col("status") == "READY"
-    return lectures.groupBy("user_id").agg(
+    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("lecture_id"))
+    seconds = lectures.where(ready).withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= shown).groupBy("user_id").agg(F.sum(F.coalesce("duration_seconds", F.lit(0))).alias("ready_seconds"))
+    asked = questions.select("lecture_id").join(lectures.select("lecture_id", "user_id"), "lecture_id").groupBy("user_id").agg(F.count("*").alias("n_questions"))
+    counts = lectures.groupBy("user_id").agg(
         F.count("*").alias("n_lectures"),
-        F.sum(F.when(ready, F.coalesce("duration_seconds", F.lit(0))).otherwise(0)).alias("ready_seconds"),
+        (F.count_if(ready) > shown).alias("ready_is_partial"),
         F.count_if(~F.col("status").isin(FINAL_STATUSES)).alias("n_processing"),
         F.count_if(F.col("status") == "FAILED").alias("n_failed"),
     )
+    return counts.join(seconds, "user_id", "left").join(asked, "user_id", "left").fillna(0, ["ready_seconds", "n_questions"])

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlpit.functions.text import cut_text
 from marlpit.functions.vector import cosine, norm
+from marlpit.schema import ANSWER_MOST, INSUFFICIENT
 
 #: A block of queries of at most this many rows is sent to all tasks.
 QUERY_BLOCK = 4096
+#: No query gets more chunks than this.
+MOST = 50
+
+
+def shown() -> Column:
+    return F.round("similarity", 4).alias("similarity")
 
 
 def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: bool = False) -> DataFrame:
-    """Every query's `top` most similar chunks of the same model and length: similarity has four decimals, ties go to the smaller sequence.
+    """Every query's `top` most similar chunks of the same model and length, by exact similarity; ties go to the smaller sequence.
+
+    Ranks, thresholds and budgets look at the exact value; shown() rounds it for output. top is held between 1 and MOST.
 
     own_lecture: only chunks of the query's lecture, query_lecture. queries (query_id, query_model, query) is a block: of up to QUERY_BLOCK rows it goes to all tasks, which rank their
     own chunks and send on `top` for each query; a larger one is dealt in rounds of blocks, united."""
+    top = min(max(top, 1), MOST)
     n = queries.count()
     if n > QUERY_BLOCK:
         blocks = -(-n // QUERY_BLOCK)
@@ -29,7 +40,7 @@ def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: b
     c = chunks.where("embedding is not null").withColumn("chunk_norm", norm(F.col("embedding")))
     fits = (F.col("embedding_model") == F.col("query_model")) & (F.size("embedding") == F.size("query"))
     near = c.join(F.broadcast(q), fits & (F.col("lecture_id") == F.col("query_lecture")) if own_lecture else fits)
-    near = near.withColumn("similarity", F.round(cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm")), 4)).where("similarity is not null")
+    near = near.withColumn("similarity", cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm"))).where("similarity is not null")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "sequence", "chunk_id")
     return near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model").withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
 
@@ -52,6 +63,24 @@ def evidence(ranked: DataFrame, threshold: float, budget: int) -> DataFrame:
     return kept.withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("sequence", "chunk_id")).cast("long"))
 
 
+def interpret(answers: DataFrame, n_passages: Column, use_answerable: bool = True, require_citations: bool = True) -> DataFrame:
+    """answers (answerable, citations, answer: strings as the model gave them) with outcome, decision, cited and shown_answer.
+
+    An answer that is blank, or not marked answerable, is declined; one that cites no passage given is refused; both show
+    no answer and no citation. White space is squeezed and the answer cut. The two switches turn the last two rules off."""
+    text = cut_text(F.col("answer"), ANSWER_MOST)
+    cited = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce("citations", F.array().cast("array<string>")), lambda c: F.trim(c).try_cast("int")), lambda c: c.between(1, n_passages))))
+    declined = text == ""
+    if use_answerable:
+        declined = declined | ~F.coalesce(F.col("answerable") == "true", F.lit(False))
+    decision = F.when(declined, "model_declined").otherwise("answered")
+    if require_citations:
+        decision = F.when(declined, "model_declined").when(F.size(cited) == 0, "no_valid_citations").otherwise("answered")
+    out = answers.withColumn("decision", decision)
+    good = F.col("decision") == "answered"
+    return out.withColumns({"outcome": F.when(good, "answered").otherwise(INSUFFICIENT), "cited": F.when(good, cited).otherwise(F.array().cast("array<int>")), "shown_answer": F.when(good, text)})
+
+
 def index_report(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.groupBy("lecture_id").agg(
         F.count("*").alias("n_chunks"),

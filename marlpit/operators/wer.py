@@ -38,8 +38,10 @@ def error_counts(pairs: DataFrame) -> DataFrame:
 
 
 def corpus_rates(counts: DataFrame) -> DataFrame:
-    """Sum of errors over sum of lengths."""
-    return counts.agg(F.sum("errors").alias("errors"), F.sum("n_words").alias("n_words"), F.round(F.try_divide(F.sum("errors").cast("double"), F.sum("n_words")), 6).alias("wer"))
+    """Sums of errors over sums of lengths, for words and characters; NULL where there is nothing to err on."""
+    rate = lambda e, n: F.round(F.try_divide(F.sum(e).cast("double"), F.sum(n)), 6)
+    sums = [F.sum(c).alias(c) for c in ("errors", "n_words", "char_errors", "n_chars")]
+    return counts.agg(*sums, rate("errors", "n_words").alias("wer"), rate("char_errors", "n_chars").alias("cer"))
 
 
 def alignment(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:

@@ -53,7 +53,7 @@ def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dashboard_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library.dashboard(t.lectures(spark, sf_dir))
+    return library.dashboard(t.lectures(spark, sf_dir), t.chat_logs(spark, sf_dir))
 
 
 def visible_children(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +135,11 @@ ORACLE_SQL = {
     "history_search": f"""{with_sql("lectures", "chat_logs")}, f as (select *, row_number() over (partition by user_id order by created_at desc, question_id desc) as place, count(*) over (partition by user_id) as total
       from chat_logs where contains(lower(question), 'click') or coalesce(contains(lower(answer), 'click'), false))
       select f.user_id, place, question_id, lecture_id, total from f join lectures using (lecture_id) where place <= {PAGE}""",
-    "dashboard_overview": f"""{_L} select user_id, count(*) as n_lectures, cast(coalesce(sum(case when status = 'READY' then coalesce(duration_seconds, 0) else 0 end), 0) as bigint) as ready_seconds,
-      count(*) filter (where status not in ('READY', 'FAILED')) as n_processing, count(*) filter (where status = 'FAILED') as n_failed from lectures group by user_id""",
+    "dashboard_overview": f"""{with_sql("lectures", "chat_logs")}, r as (select *, row_number() over (partition by user_id, status = 'READY' order by created_at desc, lecture_id desc) as nth from lectures),
+      q as (select l.user_id, count(*) as n from chat_logs c join lectures l using (lecture_id) group by 1)
+      select user_id, count(*) as n_lectures, cast(coalesce(sum(case when status = 'READY' and nth <= 100 then coalesce(duration_seconds, 0) else 0 end), 0) as bigint) as ready_seconds,
+      count(*) filter (where status = 'READY') > 100 as ready_is_partial,
+      count(*) filter (where status not in ('READY', 'FAILED')) as n_processing, count(*) filter (where status = 'FAILED') as n_failed, coalesce(max(q.n), 0) as n_questions from r left join q using (user_id) group by user_id""",
     "visible_children": f"{with_sql('lectures', 'segments')} select lecture_id, count(*) as n_segments from segments where lecture_id in (select lecture_id from lectures where status = 'READY') group by lecture_id",
     "processing_details": f"""{with_sql("jobs", "stage_runs")}, r as (select job_id, string_agg(stage || ':' || status, ',' order by started_at, stage, status, tie, tie2) as stages, count(*) as n_runs from stage_runs group by job_id)
       select j.job_id, j.status, stages, coalesce(n_runs, 0) as n_runs from jobs j left join r using (job_id)""",
@@ -150,7 +153,7 @@ ORACLE_SQL = {
       n as (select *, row_number() over (partition by lecture_id order by pos) as nth from f), g as (select lecture_id, string_agg(w, '|' order by pos) as tags from n where nth <= 20 group by lecture_id)
       select lectures.lecture_id, coalesce(tags, '') as tags from lectures left join g using (lecture_id)""",
     "search_terms": r"""with w as (select item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}')) as w, unnest(range(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]{4,}')))) as pos from benchmark),
-      f as (select item_id, w, min(pos) as pos from w where w not in ('what','when','where','which','that','this','with','from','does','have','were','they','them','about','into','your') group by all),
+      f as (select item_id, w, min(pos) as pos from w where w not in ('what','when','where','which','does','with','that','this','from','about','there','their','have','into','they','lecture') group by all),
       n as (select *, row_number() over (partition by item_id order by pos) as nth from f), g as (select item_id, string_agg(w, ' ' order by pos) as terms from n where nth <= 6 group by item_id)
       select benchmark.item_id, coalesce(terms, '') as terms from benchmark left join g using (item_id)""",
     "url_parse": r"""select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) as path,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.operators import jobs as ops
-from marlpit.schema import RATE_LIMIT, RATE_WINDOW, STAGES
+from marlpit.schema import LECTURE_STATUSES, RATE_LIMIT, RATE_WINDOW, STAGES
 from marlpit.sources import tables as t
 from marlpit.sources.tables import with_sql
 from marlpit.streaming import live
@@ -34,14 +34,40 @@ def stuck_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.stuck(t.jobs(spark, sf_dir), _now()).groupBy("kind").agg(F.count("*").alias("n"), F.min("job_id").alias("first_job"))
 
 
+def _staged_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs with a current stage: by job_id, and some of them waiting or failed."""
+    stage = F.get(F.array(*map(F.lit, STAGES)), F.expr("cast(pmod(job_id, 7) AS int)"))
+    status = F.when((F.col("status") == "queued") & (F.col("job_id") % 5 == 0), "waiting").when((F.col("status") == "running") & (F.col("job_id") % 5 == 1), "failed").otherwise(F.col("status"))
+    return t.jobs(spark, sf_dir).withColumns({"current_stage": stage, "status": status})
+
+
 def stage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every job and stage of the pipeline: what its last run says, or pending before and after the furthest stage."""
-    last = ops.last_runs(t.stage_runs(spark, sf_dir))
-    place = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
-    reached = last.groupBy("job_id").agg(F.max(place).alias("reached"))
-    grid = reached.select("job_id", "reached", F.posexplode(F.array(*map(F.lit, STAGES))).alias("pos", "stage"))
-    state = F.when(F.col("status") == "succeeded", "done").when(F.col("status") == "failed", "failed").when(F.col("status") == "running", "active").when(F.col("pos") + 1 < F.col("reached"), "unavailable").otherwise("pending")
-    return grid.join(last.select("job_id", "stage", "status"), ["job_id", "stage"], "left").groupBy("stage", state.alias("state")).agg(F.count("*").alias("n"))
+    """How many jobs show each state of each stage, and the time of the runs shown."""
+    out = ops.stage_states(_staged_jobs(spark, sf_dir), t.stage_runs(spark, sf_dir))
+    return out.groupBy("stage", "state").agg(F.count("*").alias("n"), F.count("duration_ms").alias("n_timed"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("ms"))
+
+
+def resume_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.resume_waiting(_staged_jobs(spark, sf_dir), STAGES[:5], _now()).select("job_id", "status", "next_attempt_at", "resumed")
+
+
+def due_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.due_jobs(t.jobs(spark, sf_dir), _now())
+
+
+def stage_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three jobs report an outcome, some for a stage they have left."""
+    jobs = _staged_jobs(spark, sf_dir)
+    seen = F.get(F.array(*map(F.lit, STAGES)), F.expr("cast(pmod(job_id + case when pmod(job_id, 11) = 0 then 1 else 0 end, 7) AS int)"))
+    outcome = F.element_at(F.array(F.lit("succeeded"), F.lit("failed"), F.lit("unavailable"), F.lit("succeeded")), F.expr("cast(pmod(job_id, 4) AS int) + 1"))
+    done = jobs.where("pmod(job_id, 3) > 0").select("job_id", seen.alias("expected_stage"), outcome.alias("outcome"))
+    return ops.advance(jobs, done).select("job_id", "status", "current_stage", "won")
+
+
+def lecture_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of lecture statuses."""
+    s = spark.createDataFrame([(a, b) for a in LECTURE_STATUSES for b in LECTURE_STATUSES], "before string, after string")
+    return ops.lecture_moves(s)
 
 
 def transition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,15 +81,13 @@ def transition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects from events: path owner/lecture/event, some with a wrong owner or no reference."""
+    """Objects from events: owner/lecture/event, some with a wrong owner, some at the top, some that no lecture uses, some new or of unknown age."""
     logs = t.chat_logs(spark, sf_dir)
-    objects = logs.select(
-        F.concat_ws("/", F.concat(F.lit("src"), F.expr("pmod(question_id, 21)").cast("string")), F.col("lecture_id").cast("string"), F.col("question_id").cast("string")).alias("path"),
-        F.concat(F.lit("src"), F.expr("pmod(question_id, 21)").cast("string")).alias("owner"),
-        "lecture_id",
-        F.col("answerable").alias("referenced"),
-    )
-    return ops.orphans(objects, t.lectures(spark, sf_dir)).groupBy("reason").agg(F.count("*").alias("n"))
+    owner = F.concat(F.lit("src"), F.expr("pmod(lecture_id + case when pmod(question_id, 6) = 0 then 1 else 0 end, 20)").cast("string"))
+    path = F.concat_ws("/", owner, F.when(F.col("question_id") % 9 > 0, F.col("lecture_id").cast("string")), F.col("question_id").cast("string"))
+    objects = logs.select(path.alias("path"), F.when(F.col("question_id") % 13 > 0, F.col("created_at")).alias("created_at"))
+    used = logs.where("answerable").select(path.alias("path"))
+    return ops.orphans(objects, t.lectures(spark, sf_dir), used, F.expr("timestamp_ntz'2024-01-20 00:00:00'")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,6 +116,8 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _J = with_sql("jobs")
 _R = with_sql("stage_runs")
 _T = f"timestamp '{NOW}'"
+_STAGED = """st as (select unnest(['EXTRACTING_AUDIO','TRANSCRIBING','CLEANING','CHUNKING','EMBEDDING','INDEXING','GENERATING_INTELLIGENCE']) as stage, unnest(range(7)) as pos),
+j as (select job_id, next_attempt_at, job_id % 7 as cur, case when status = 'queued' and job_id % 5 = 0 then 'waiting' when status = 'running' and job_id % 5 = 1 then 'failed' else status end as status from jobs)"""
 ORACLE_SQL = {
     "job_claim": f"""{_J}, h as (select *, status = 'queued' and next_attempt_at <= {_T} as hit from jobs) select job_id, case when hit then 'running' else status end as status, attempt_count + hit::integer as attempt_count,
       case when hit then {_T} + interval 120 seconds else lease_expires_at end as lease_expires_at, hit as claimed from h""",
@@ -101,14 +127,24 @@ ORACLE_SQL = {
       select job_id, w as wait_seconds, {_T} + to_seconds(w) as next_attempt_at from h""",
     "stuck_jobs": f"""{_J}, h as (select job_id, case when status = 'queued' and next_attempt_at < {_T} - interval 900 seconds then 'queued_overdue' when status = 'running' and queued_at < {_T} - interval 14400 seconds then 'long_running' end as kind from jobs)
       select kind, count(*) as n, min(job_id) as first_job from h where kind is not null group by kind""",
-    "stage_state": f"""{_R}, n as (select *, row_number() over (partition by job_id, stage order by started_at desc, tie desc, tie2 desc, status desc, duration_ms desc nulls last) as nth from stage_runs), l as (select * from n where nth = 1),
-      st as (select unnest(['EXTRACTING_AUDIO','TRANSCRIBING','CLEANING','CHUNKING','EMBEDDING','INDEXING','GENERATING_INTELLIGENCE']) as stage, unnest(range(1, 8)) as pos), r as (select job_id, max(pos) as reached from l join st using (stage) group by 1)
-      select st.stage, case l.status when 'succeeded' then 'done' when 'failed' then 'failed' when 'running' then 'active' else case when pos < reached then 'unavailable' else 'pending' end end as state, count(*) as n
-      from r cross join st left join l on l.job_id = r.job_id and l.stage = st.stage group by all""",
+    "stage_state": f"""{with_sql("jobs", "stage_runs")}, {_STAGED}, n as (select *, row_number() over (partition by job_id, stage order by started_at desc, tie desc, tie2 desc, status desc, duration_ms desc nulls last) as nth from stage_runs),
+      l as (select job_id, stage, duration_ms from n where nth = 1 and status = 'succeeded'),
+      g as (select j.job_id, st.stage, case when status = 'succeeded' or pos < cur then 'done' when pos = cur then case status when 'running' then 'active' when 'queued' then 'queued' when 'waiting' then 'unavailable' when 'failed' then 'failed' else 'pending' end else 'pending' end as state from j cross join st)
+      select g.stage, state, count(*) as n, count(duration_ms) as n_timed, cast(coalesce(sum(duration_ms), 0) as bigint) as ms from g left join l on l.job_id = g.job_id and l.stage = g.stage group by all""",
+    "resume_waiting": f"""{_J}, {_STAGED} select job_id, case when status = 'waiting' and cur < 5 then 'queued' else status end as status, case when status = 'waiting' and cur < 5 then {_T} else next_attempt_at end as next_attempt_at,
+      status = 'waiting' and cur < 5 as resumed from j""",
+    "due_jobs": f"{_J} select job_id, next_attempt_at from jobs where status = 'queued' and next_attempt_at <= {_T} order by next_attempt_at, job_id limit 50",
+    "stage_advance": f"""{_J}, {_STAGED}, d as (select *, case when job_id % 3 > 0 then (['succeeded', 'failed', 'unavailable', 'succeeded'])[job_id % 4 + 1] end as outcome, (job_id + case when job_id % 11 = 0 then 1 else 0 end) % 7 as seen from j),
+      w as (select *, case when outcome is not null then status = 'running' and seen = cur end as won from d)
+      select job_id, case when not coalesce(won, false) then status when outcome = 'failed' then 'failed' when outcome = 'unavailable' then 'waiting' when cur = 6 then 'succeeded' else 'running' end as status,
+      (select stage from st where pos = case when coalesce(won, false) and outcome = 'succeeded' and cur < 6 then cur + 1 else cur end) as current_stage, won from w""",
+    "lecture_transitions": """with s as (select unnest(['UPLOADED','QUEUED','EXTRACTING_AUDIO','TRANSCRIBING','CLEANING','CHUNKING','EMBEDDING','INDEXING','GENERATING_INTELLIGENCE','READY','FAILED']) as x, unnest(range(11)) as i)
+      select a.x as before, b.x as after, a.i <> b.i and case when b.i = 10 then a.i < 9 when b.i = 1 then a.i in (0, 10) or a.i between 2 and 8 when a.i = 1 then b.i between 2 and 8 when a.i between 2 and 8 then b.i = a.i + 1 else false end as legal from s a cross join s b""",
     "transition_report": f"""{_R}, b as (select job_id, status as after, lag(status) over (partition by job_id order by started_at, stage, tie, tie2, status, duration_ms nulls first) as before from stage_runs)
       select before, after, (before || '>' || after) in ('queued>running','running>succeeded','running>failed','running>queued','running>waiting','waiting>queued','failed>queued') as legal, count(*) as n from b where before is not null group by all""",
-    "orphans": f"""{with_sql("chat_logs", "lectures")}, o as (select 'src' || (question_id % 21) as owner, lecture_id, answerable from chat_logs)
-      select case when l.lecture_id is null then 'lecture_missing' when owner <> user_id then 'owner_mismatch' when not answerable then 'unreferenced' end as reason, count(*) as n from o left join lectures l using (lecture_id) group by 1""",
+    "orphans": f"""{with_sql("chat_logs", "lectures")}, o as (select 'src' || ((lecture_id + case when question_id % 6 = 0 then 1 else 0 end) % 20) as owner, lecture_id, question_id % 9 > 0 as deep, answerable, case when question_id % 13 > 0 then created_at end as made from chat_logs)
+      select case when made <= timestamp '2024-01-20' then case when not deep then 'unexpected_location' when l.lecture_id is null then 'lecture_missing' when owner <> user_id then 'owner_mismatch' when not answerable then 'unreferenced' end end as reason,
+      count(*) as n from o left join lectures l using (lecture_id) group by 1""",
     "rate_limit": f"""with e as (select event_id as id, event_type, ts, cast(floor(epoch(ts)) as bigint) as s from events), w as (select *, s // {RATE_WINDOW * RATE_LIMIT} as win from e), n as (select *, row_number() over (partition by event_type, win order by ts, id) as n from w)
       select id, n, n <= 2 as allowed, greatest(2 - n, 0) as remaining, greatest(1, (win + 1) * {RATE_WINDOW * RATE_LIMIT} - s) as retry_after from n""",
     "dedupe_submissions": """with d as (select doc_id, case when doc_id % 11 > 0 then sha256(text) end as fingerprint from documents), n as (select *, row_number() over (partition by fingerprint order by doc_id) as nth from d)
@@ -117,4 +153,4 @@ ORACLE_SQL = {
       select user_id as worker, min(ts) as "from", max(ts) + interval 6 hours as until, count(*) as n from r group by user_id, run""",
     "rate_windows": """select event_type as operation, user_id as subject, date_trunc('hour', ts) as "from", count(*) as n from events group by all""",
 }
-QUERIES = {f.__name__: f for f in (job_claim, job_recover, job_backoff, stuck_jobs, stage_state, transition_report, orphans, rate_limit, dedupe_submissions, presence, rate_windows)}
+QUERIES = {f.__name__: f for f in (job_claim, job_recover, job_backoff, stuck_jobs, stage_state, resume_waiting, due_jobs, stage_advance, lecture_transitions, transition_report, orphans, rate_limit, dedupe_submissions, presence, rate_windows)}

@@ -23,7 +23,7 @@ def _search(threshold: float):
     def search(spark: SparkSession, sf_dir: str) -> DataFrame:
         chunks = t.chunks(spark, sf_dir)
         out = retrieval.search_content(_queries(chunks), chunks, t.lectures(spark, sf_dir), SEARCH_CANDIDATES, threshold, SEARCH_PER_LECTURE, SEARCH_LIMIT)
-        return out.select("query_id", "place", "chunk_id", "lecture_id", "similarity")
+        return out.select("query_id", "place", "chunk_id", "lecture_id", retrieval.shown())
 
     return search
 
@@ -32,7 +32,7 @@ def vector_topk_lecture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query's best chunks in its own lecture."""
     chunks = t.chunks(spark, sf_dir)
     q = chunks.where("pmod(chunk_id, 50) = 0").select(F.col("chunk_id").alias("query_id"), F.col("lecture_id").alias("query_lecture"), F.col("embedding_model").alias("query_model"), F.col("embedding").alias("query"))
-    return retrieval.similarities(q, chunks, RAG_TOP_K, own_lecture=True).select("query_id", F.col("rank").alias("place"), "chunk_id", "similarity")
+    return retrieval.similarities(q, chunks, RAG_TOP_K, own_lecture=True).select("query_id", F.col("rank").alias("place"), "chunk_id", retrieval.shown())
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evidence(spark, sf_dir).select("query_id", "number", "chunk_id", "similarity", "token_estimate")
+    return _evidence(spark, sf_dir).select("query_id", "number", "chunk_id", retrieval.shown(), "token_estimate")
 
 
 def evidence_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,19 +55,25 @@ def evidence_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interpret_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers rebuilt from events: citations are valid if they name one of three passages."""
-    logs = t.chat_logs(spark, sf_dir).select("question_id", F.to_json(F.struct(F.when(F.col("answerable"), F.lit("true")).otherwise("yes").alias("answerable"), F.array(F.col("k").cast("string"), (F.col("k") % 5).cast("string"), F.lit("x")).alias("citations"))).alias("raw"))
-    parsed = logs.withColumn("m", F.from_json("raw", "answerable string, citations array<string>"))
-    cited = F.array_sort(F.array_distinct(F.filter(F.transform("m.citations", lambda c: c.try_cast("int")), lambda c: c.between(1, 3))))
-    decision = F.when(F.col("m.answerable") != "true", "model_declined").when(F.size(cited) == 0, "no_valid_citations").otherwise("answered")
-    return parsed.select("question_id", decision.alias("decision"), F.array_join(cited.cast("array<string>"), ",").alias("cited"))
+    """Model answers rebuilt from events, every fifth blank: citations are valid if they name one of three passages."""
+    raw = F.struct(
+        F.when(F.col("answerable"), F.lit("true")).otherwise("yes").alias("answerable"),
+        F.array(F.col("k").cast("string"), (F.col("k") % 5).cast("string"), F.lit("x")).alias("citations"),
+        F.when(F.col("question_id") % 5 == 0, "  ").otherwise(F.concat(F.lit(" About   "), "question")).alias("answer"),
+    )
+    logs = t.chat_logs(spark, sf_dir).select("question_id", F.to_json(raw).alias("raw"))
+    # Models wrap their JSON in a fence now and then.
+    bare = F.regexp_replace(F.when(F.col("question_id") % 2 == 0, F.concat(F.lit("```json\n"), "raw", F.lit("\n```"))).otherwise(F.col("raw")), r"^```[a-z]*\s*|\s*```$", "")
+    m = logs.select("question_id", F.from_json(bare, "answerable string, citations array<string>, answer string").alias("m")).select("question_id", "m.*")
+    out = retrieval.interpret(m, F.lit(3))
+    return out.select("question_id", "outcome", "decision", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.coalesce("shown_answer", F.lit("")).alias("answer"))
 
 
 def self_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First, middle and last chunk of every lecture, and the chunk each finds first."""
+    """First, middle and last chunk of every lecture, and the chunk of it each finds first."""
     chunks = t.chunks(spark, sf_dir)
-    p = retrieval.probes(chunks).select(F.col("chunk_id").alias("query_id"), F.col("embedding_model").alias("query_model"), F.col("embedding").alias("query"))
-    return retrieval.similarities(p, chunks, 1).select("query_id", "chunk_id", "similarity", (F.col("query_id") == F.col("chunk_id")).alias("found_itself"))
+    p = retrieval.probes(chunks).select(F.col("chunk_id").alias("query_id"), F.col("lecture_id").alias("query_lecture"), F.col("embedding_model").alias("query_model"), F.col("embedding").alias("query"))
+    return retrieval.similarities(p, chunks, 1, own_lecture=True).select("query_id", "chunk_id", retrieval.shown(), (F.col("query_id") == F.col("chunk_id")).alias("found_itself"))
 
 
 def index_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +102,7 @@ def segment_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SIM = f"""{with_sql("chunks", "lectures")}, q as (select chunk_id as query_id, lecture_id as query_lecture, embedding_model as query_model, embedding as query from chunks where chunk_id % 50 = 0),
-s as (select query_id, query_lecture, c.*, round(list_dot_product(c.embedding, query) / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(query, query))), 4) as similarity
+s as (select query_id, query_lecture, c.*, list_dot_product(c.embedding, query) / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(query, query))) as similarity
   from q join chunks c on c.embedding_model = q.query_model)"""
 _RANK = "row_number() over (partition by query_id order by similarity desc, sequence)"
 _EVIDENCE = rf"""{_SIM}, r as (select *, {_RANK} as rank from s), x as (select r.*, text, cast(greatest(1, ceil(len(regexp_extract_all(text, '\S+')) * 1.3::double)) as integer) as token_estimate
@@ -108,7 +114,7 @@ e as (select *, row_number() over (partition by query_id order by sequence) as n
 def _search_sql(threshold: float) -> str:
     return f"""{_SIM}, r as (select s.*, {_RANK} as rank from s join lectures l on l.lecture_id = s.lecture_id and l.status = 'READY'),
     c as (select *, row_number() over (partition by query_id, lecture_id order by similarity desc, sequence) as k from r where rank <= {SEARCH_CANDIDATES} and similarity >= {threshold}),
-    p as (select *, {_RANK} as place from c where k <= {SEARCH_PER_LECTURE}) select query_id, place, chunk_id, lecture_id, similarity from p where place <= {SEARCH_LIMIT}"""
+    p as (select *, {_RANK} as place from c where k <= {SEARCH_PER_LECTURE}) select query_id, place, chunk_id, lecture_id, round(similarity, 4) as similarity from p where place <= {SEARCH_LIMIT}"""
 
 
 def _clock_sql(c: str) -> str:
@@ -119,16 +125,19 @@ def _clock_sql(c: str) -> str:
 ORACLE_SQL = {
     "search_content": _search_sql(THRESHOLD),
     "search_content_strict": _search_sql(0.6),
-    "vector_topk_lecture": f"{_SIM}, p as (select *, {_RANK} as place from s where lecture_id = query_lecture) select query_id, place, chunk_id, similarity from p where place <= {RAG_TOP_K}",
-    "evidence_budget": f"{_EVIDENCE} select query_id, number, chunk_id, similarity, token_estimate from e",
+    "vector_topk_lecture": f"{_SIM}, p as (select *, {_RANK} as place from s where lecture_id = query_lecture) select query_id, place, chunk_id, round(similarity, 4) as similarity from p where place <= {RAG_TOP_K}",
+    "evidence_budget": f"{_EVIDENCE} select query_id, number, chunk_id, round(similarity, 4) as similarity, token_estimate from e",
     "evidence_prompt": f"""{_EVIDENCE}, t as (select query_id, number, '[' || number || '] (' || {_clock_sql("start_seconds")} || '-' || {_clock_sql("end_seconds")} || ') ' || translate(text, '<>', '‹›') as line from e),
       g as (select query_id, count(*) as n_passages, string_agg(line, chr(10) || chr(10) order by number) as prompt from t group by query_id) select query_id, n_passages, length(prompt) as n_chars, sha256(prompt) as prompt_sha256 from g""",
-    "interpret_answers": f"""{with_sql("chat_logs")}, c as (select question_id, answerable, list_sort(list_distinct(list_filter([k, k % 5], lambda x: x between 1 and 3))) as cited from chat_logs)
-      select question_id, case when not answerable then 'model_declined' when len(cited) = 0 then 'no_valid_citations' else 'answered' end as decision, array_to_string(cited, ',') as cited from c""",
+    "interpret_answers": f"""{with_sql("chat_logs")}, c as (select question_id, answerable, list_sort(list_distinct(list_filter([k, k % 5], lambda x: x between 1 and 3))) as cited,
+      case when question_id % 5 = 0 then '' else 'About ' || question end as a from chat_logs),
+      d as (select *, case when a = '' or not answerable then 'model_declined' when len(cited) = 0 then 'no_valid_citations' else 'answered' end as decision from c)
+      select question_id, case when decision = 'answered' then 'answered' else 'insufficient_evidence' end as outcome, decision, case when decision = 'answered' then array_to_string(cited, ',') else '' end as cited,
+      case when decision = 'answered' then a else '' end as answer from d""",
     "self_retrieval": f"""{with_sql("chunks")}, n as (select *, row_number() over (partition by lecture_id order by sequence) - 1 as nth, count(*) over (partition by lecture_id) as n from chunks),
-      q as (select chunk_id as query_id, embedding_model as query_model, embedding as query from n where nth = 0 or nth = n // 2 or nth = n - 1),
-      s as (select query_id, c.chunk_id, sequence, round(list_dot_product(c.embedding, query) / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(query, query))), 4) as similarity from q join chunks c on c.embedding_model = q.query_model),
-      r as (select *, {_RANK} as rank from s) select query_id, chunk_id, similarity, query_id = chunk_id as found_itself from r where rank = 1""",
+      q as (select chunk_id as query_id, lecture_id as query_lecture, embedding_model as query_model, embedding as query from n where nth = 0 or nth = n // 2 or nth = n - 1),
+      s as (select query_id, c.chunk_id, sequence, list_dot_product(c.embedding, query) / (sqrt(list_dot_product(c.embedding, c.embedding)) * sqrt(list_dot_product(query, query))) as similarity from q join chunks c on c.embedding_model = q.query_model and c.lecture_id = q.query_lecture),
+      r as (select *, {_RANK} as rank from s) select query_id, chunk_id, round(similarity, 4) as similarity, query_id = chunk_id as found_itself from r where rank = 1""",
     "index_completeness": f"{with_sql('chunks')} select lecture_id, count(*) as n_chunks, count(*) filter (where embedding is null) as n_missing, count(*) filter (where embedding_model <> 'mini-a') as n_other_model from chunks group by lecture_id",
     "segment_asof": f"""{with_sql("chunks", "chat_logs")}, e as (select question_id, cast(user_id % 10 as bigint) as lecture_id, cast(floor(latency_ms * 20) as double) as at from chat_logs)
       select question_id, e.lecture_id, coalesce((select max(chunk_id) from chunks c where c.lecture_id = e.lecture_id and c.start_seconds <= e.at), -1) as chunk_id from e""",

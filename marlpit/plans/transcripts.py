@@ -65,15 +65,16 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lecture_id",
         F.expr("element_at(array('concepts','definitions','keywords','points'), cast(pmod(pos, 4) AS int) + 1)").alias("kind"),
         (F.col("turn") * 100000 + F.col("pos")).alias("position"),
-        "term",
+        F.when(F.col("pos") % 8 == 5, F.concat(F.lit("zz"), "term")).when(F.col("pos") % 8 == 6, F.concat(F.lit("zz"), "term")).otherwise(F.col("term")).alias("term"),
         F.array(F.length("term").cast("string"), F.lit("x"), F.expr("cast(turn AS string)"), F.lit("99")).alias("raw_refs"),
     )
     return w
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each lecture's number of turns and the text of its first, so that not every term occurs."""
-    return _turns(spark, sf_dir).groupBy("lecture_id").agg(F.count("*").cast("int").alias("n_chunks"), F.min_by("raw_text", "chunk").alias("text"))
+    """Each lecture's number of turns and the text of all of them; made-up terms aren't in it."""
+    turns = F.array_sort(F.collect_list(F.struct("chunk", F.coalesce("raw_text", F.lit("")).alias("text"))))
+    return _turns(spark, sf_dir).groupBy("lecture_id").agg(F.count("*").cast("int").alias("n_chunks"), F.array_join(turns["text"], " ").alias("text"))
 
 
 def grounded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +104,9 @@ r0 as (select *, case when no_speech_prob >= 0.8 and avg_logprob <= -1.0 then 'n
 pr as (select *, last_value(case when reason0 is null then key end ignore nulls) over (partition by lecture_id order by sequence rows between unbounded preceding and 1 preceding) as before from r0),
 rs as (select *, coalesce(reason0, case when key = before then 'duplicate' else 'kept' end) as reason from pr),
 cl as (select *, last_value(case when reason = 'kept' then regexp_matches(c, '[.!?]["'')\]]*$') end ignore nulls) over (partition by lecture_id order by sequence rows between unbounded preceding and 1 preceding) as closed from rs),
-cleaned as (select *, case when reason <> 'kept' then '' when coalesce(closed, true) then upper(c[1]) || c[2:] else c end as text, case when reason in ('kept', 'duplicate') then collapsed else 0 end as n_collapsed from cl)"""
+cleaned as (select *, case when reason <> 'kept' then '' when coalesce(closed, true) then upper(c[1]) || c[2:] else c end as text, case when reason <> 'non_speech' then collapsed else 0 end as n_collapsed from cl)"""
 _COUNTS = """select lecture_id, count(*) as n_segments, count(*) filter (where reason = 'kept') as n_kept, count(*) filter (where reason = 'duplicate') as n_duplicate, count(*) filter (where reason = 'non_speech') as n_non_speech,
-  count(*) filter (where reason = 'empty') as n_empty, cast(sum(n_collapsed) as bigint) as n_collapsed, count(*) filter (where reason = 'kept' and text <> trim(raw_text)) as n_changed from cleaned group by lecture_id"""
+  count(*) filter (where reason = 'empty') as n_empty, cast(sum(n_collapsed) as bigint) as n_collapsed, count(*) filter (where reason = 'kept' and text <> regexp_replace(raw_text, '^\s+|\s+$', '', 'g')) as n_changed from cleaned group by lecture_id"""
 _CLEAN_SHORT = with_sql("segments") + ",\n" + _CLEAN.replace("{src}", "segments").replace("{{", "{").replace("}}", "}")
 _CLEAN_LINES = (
     "with lines as (select doc_id as lecture_id, unnest(range(len(string_split(text, chr(10))))) as sequence, unnest(string_split(text, chr(10))) as raw_text from documents), "
@@ -130,7 +131,7 @@ al as (select lecture_id, grp, sequence, start_seconds, end_seconds, text from b
 g as (select lecture_id, cast(grp as bigint) as chunk, string_agg(text, ' ' order by sequence) as text, arg_min(start_seconds, sequence) as start_seconds, arg_max(end_seconds, sequence) as end_seconds, min(sequence) as first_segment, max(sequence) as last_segment from al group by lecture_id, grp),
 ch as (select *, cast(greatest(1, ceil(len(regexp_extract_all(text, '\S+')) * 1.3::double)) as bigint) as token_estimate from g)"""
 _ITEMS = """w as (select conv_id as lecture_id, turn, unnest(string_split(text, ' ')) as term, unnest(range(len(string_split(text, ' ')))) as pos from conversations),
-i as (select lecture_id, (['concepts','definitions','keywords','points'])[pos % 4 + 1] as kind, turn * 100000 + pos as position, term, list_sort(list_distinct([cast(length(term) as bigint), turn, 99])) as raw from w where length(term) > 0)"""
+i as (select lecture_id, (['concepts','definitions','keywords','points'])[pos % 4 + 1] as kind, turn * 100000 + pos as position, case when pos % 8 in (5, 6) then 'zz' || term else term end as term, list_sort(list_distinct([cast(length(term) as bigint), turn, 99])) as raw from w where length(term) > 0)"""
 ORACLE_SQL = {
     "clean_segments": f"{_CLEAN_SHORT} select lecture_id, sequence, reason, sha256(text) as text_sha256, n_collapsed from cleaned",
     "cleaning_stats": f"{_CLEAN_SHORT} {_COUNTS}",
@@ -138,12 +139,14 @@ ORACLE_SQL = {
     "chunk_build": f"{_CHUNKS} select lecture_id, chunk, sha256(text) as text_sha256, start_seconds, end_seconds, first_segment, last_segment, token_estimate from ch",
     "chunk_stats": f"{_CHUNKS} select lecture_id, count(*) as n_chunks, min(token_estimate) as min_tokens, median(token_estimate) as median_tokens, max(token_estimate) as max_tokens from ch group by lecture_id",
     "chapters": """with p as (select conv_id as lecture_id, turn // 2 as start_chunk, min(split_part(text, ' ', 1)) as title from conversations where role = 'user' group by all),
-      k as (select *, row_number() over (partition by lecture_id order by start_chunk) - 1 as chapter from p), n as (select *, lead(start_chunk) over (partition by lecture_id order by start_chunk) as nxt from k where chapter < 15),
-      b as (select conv_id as lecture_id, min(turn) as f, max(turn) as l from conversations group by 1), c as (select n.*, case when chapter = 0 then f else start_chunk end as first_chunk, coalesce(nxt - 1, l) as last_chunk from n join b using (lecture_id))
+      x as (select conv_id as lecture_id, turn as start_chunk, lag(turn) over (partition by conv_id order by turn) as prev from conversations),
+      k as (select p.*, prev, row_number() over (partition by p.lecture_id order by start_chunk) - 1 as chapter from p join x using (lecture_id, start_chunk) where trim(title) <> ''), n as (select *, lead(prev) over (partition by lecture_id order by start_chunk) as nxt from k where chapter < 15),
+      b as (select conv_id as lecture_id, min(turn) as f, max(turn) as l from conversations group by 1), c as (select n.*, case when chapter = 0 then f else start_chunk end as first_chunk, coalesce(nxt, l) as last_chunk from n join b using (lecture_id))
       select c.lecture_id, chapter, title, first_chunk, last_chunk, x.turn * 5.0::double as start_seconds, y.turn * 5.0::double + 4.5 as end_seconds from c
       join conversations x on x.conv_id = c.lecture_id and x.turn = first_chunk join conversations y on y.conv_id = c.lecture_id and y.turn = last_chunk""",
-    "grounded_items": f"""with {_ITEMS}, d as (select conv_id as lecture_id, count(*) as n, arg_min(text, turn) as text from conversations group by 1),
-      m as (select i.*, text, list_filter(raw, lambda x: x between 0 and n - 1) as refs from i join d using (lecture_id)),
+    "grounded_items": f"""with {_ITEMS}, d as (select conv_id as lecture_id, count(*) as n, string_agg(text, ' ' order by turn) as text from conversations group by 1),
+      c as (select lecture_id, kind, position, raw, trim(substr(trim(regexp_replace(term, '\s+', ' ', 'g')), 1, case kind when 'keywords' then 80 when 'points' then 400 else 120 end)) as term from i),
+      m as (select c.*, text, list_filter(raw, lambda x: x between 0 and n - 1) as refs from c join d using (lecture_id) where term <> ''),
       o as (select *, row_number() over (partition by lecture_id, kind order by position) as nth from m where kind <> 'keywords' and len(refs) > 0),
       o2 as (select * from o where nth <= case kind when 'concepts' then 25 when 'definitions' then 30 else 20 end and (kind <> 'definitions' or contains(lower(text), lower(term)))),
       k as (select *, row_number() over (partition by lecture_id, lower(term) order by position) as f from m where kind = 'keywords' and contains(lower(text), lower(term))),

@@ -26,28 +26,33 @@ def presence(beats: DataFrame, ttl: str = "90 seconds", late: str = "10 minutes"
 
 
 LEASE_OUT = "job_id long, status string, attempts int, owner string"
-LEASE_STATE = "status string, attempts int, owner string"
+LEASE_STATE = "status string, attempts int, owner string, until long"
 
 
 def leases(commands: DataFrame, max_attempts: int, lease_ms: int) -> DataFrame:
-    """commands (job_id, command: enqueue, claim, renew, finish; owner): the state of each job after each batch.
+    """commands (job_id, seq, command: enqueue, claim, renew, finish; owner): the state of each job after each batch.
 
-    A lease that isn't renewed runs out: the job is queued again, or failed when it has no attempt left."""
+    Commands of a batch are taken in order of seq. Only a claim and the owner's own renewal extend a lease. One that runs
+    out leaves the job queued again, or failed when it has no attempt left. Finished and failed jobs are forgotten."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, owner = state.get if state.exists else ("queued", 0, "")
-        if state.hasTimedOut:
+        status, attempts, owner, until = state.get if state.exists else ("queued", 0, "", 0)
+        now = state.getCurrentProcessingTimeMs()
+        if status == "running" and (state.hasTimedOut or now >= until):
+            status, owner = ("failed" if attempts >= max_attempts else "queued"), ""
+        for command, who in (c for pdf in [pd.concat(list(frames) or [pd.DataFrame({"seq": [], "command": [], "owner": []})]).sort_values("seq", kind="stable")] for c in zip(pdf["command"], pdf["owner"])):
+            if command == "claim" and status == "queued":
+                status, attempts, owner, until = "running", attempts + 1, who, now + lease_ms
+            elif command == "renew" and status == "running" and who == owner:
+                until = now + lease_ms
+            elif command == "finish" and status == "running" and who == owner:
+                status, owner = "succeeded", ""
+        if status in ("succeeded", "failed"):
+            state.remove()
+        else:
+            state.update((status, attempts, owner, until))
             if status == "running":
-                status, owner = ("failed" if attempts >= max_attempts else "queued"), ""
-        for pdf in frames:
-            for command, who in zip(pdf["command"], pdf["owner"]):
-                if command == "claim" and status == "queued":
-                    status, attempts, owner = "running", attempts + 1, who
-                elif command == "finish" and status == "running" and who == owner:
-                    status, owner = "succeeded", ""
-        state.update((status, attempts, owner))
-        if status == "running":
-            state.setTimeoutDuration(lease_ms)
+                state.setTimeoutDuration(max(1, until - now))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "owner": [owner]})
 
     return commands.groupBy("job_id").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
