@@ -30,7 +30,7 @@ from marlpit.llm.sharding import order_ranges, range_offsets
 
 SLICE = 256
 #: A worker keeps the ids of so many words, none longer than LONG bytes.
-MAX_WORDS, LONG = 400_000, 64
+MAX_WORDS, LONG = 600_000, 64
 #: The dictionary is trained on the documents of lowest hash, so many at most, cut into pieces of so many bytes, and of these on
 #: the pieces of lowest hash, so many at most; its size in bytes at most.
 SAMPLE_DOCUMENTS, PIECE_BYTES, SAMPLE_PIECES, DICTIONARY_BYTES = 1500, 1 << 16, 2048, 112_640
