@@ -106,7 +106,7 @@ rs as (select *, coalesce(reason0, case when key = before then 'duplicate' else
 cl as (select *, last_value(case when reason = 'kept' then regexp_matches(c, '[.!?]["'')\]]*$') end ignore nulls) over (partition by lecture_id order by sequence rows between unbounded preceding and 1 preceding) as closed from rs),
 cleaned as (select *, case when reason <> 'kept' then '' when coalesce(closed, true) then upper(c[1]) || c[2:] else c end as text, case when reason <> 'non_speech' then collapsed else 0 end as n_collapsed from cl)"""
 _COUNTS = """select lecture_id, count(*) as n_segments, count(*) filter (where reason = 'kept') as n_kept, count(*) filter (where reason = 'duplicate') as n_duplicate, count(*) filter (where reason = 'non_speech') as n_non_speech,
-  count(*) filter (where reason = 'empty') as n_empty, cast(sum(n_collapsed) as bigint) as n_collapsed, count(*) filter (where reason = 'kept' and text <> regexp_replace(raw_text, '^\s+|\s+$', '', 'g')) as n_changed from cleaned group by lecture_id"""
+  count(*) filter (where reason = 'empty') as n_empty, cast(sum(n_collapsed) as bigint) as n_collapsed, count(*) filter (where reason = 'kept' and text <> regexp_replace(raw_text, '^\\s+|\\s+$', '', 'g')) as n_changed from cleaned group by lecture_id"""
 _CLEAN_SHORT = with_sql("segments") + ",\n" + _CLEAN.replace("{src}", "segments").replace("{{", "{").replace("}}", "}")
 _CLEAN_LINES = (
     "with lines as (select doc_id as lecture_id, unnest(range(len(string_split(text, chr(10))))) as sequence, unnest(string_split(text, chr(10))) as raw_text from documents), "
@@ -145,7 +145,7 @@ ORACLE_SQL = {
       select c.lecture_id, chapter, title, first_chunk, last_chunk, x.turn * 5.0::double as start_seconds, y.turn * 5.0::double + 4.5 as end_seconds from c
       join conversations x on x.conv_id = c.lecture_id and x.turn = first_chunk join conversations y on y.conv_id = c.lecture_id and y.turn = last_chunk""",
     "grounded_items": f"""with {_ITEMS}, d as (select conv_id as lecture_id, count(*) as n, string_agg(text, ' ' order by turn) as text from conversations group by 1),
-      c as (select lecture_id, kind, position, raw, trim(substr(trim(regexp_replace(term, '\s+', ' ', 'g')), 1, case kind when 'keywords' then 80 when 'points' then 400 else 120 end)) as term from i),
+      c as (select lecture_id, kind, position, raw, trim(substr(trim(regexp_replace(term, '\\s+', ' ', 'g')), 1, case kind when 'keywords' then 80 when 'points' then 400 else 120 end)) as term from i),
       m as (select c.*, text, list_filter(raw, lambda x: x between 0 and n - 1) as refs from c join d using (lecture_id) where term <> ''),
       o as (select *, row_number() over (partition by lecture_id, kind order by position) as nth from m where kind <> 'keywords' and len(refs) > 0),
       o2 as (select * from o where nth <= case kind when 'concepts' then 25 when 'definitions' then 30 else 20 end and (kind <> 'definitions' or contains(lower(text), lower(term)))),
