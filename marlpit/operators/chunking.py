@@ -6,31 +6,41 @@ cost, closes) of a lecture, never its texts."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlpit.functions import text as tx
 from marlpit.schema import CHUNK_MAX, CHUNK_MIN, CHUNK_OVERLAP, LLM_WINDOW
 
 
 def _groups(rows: DataFrame, key: str, low: int, high: int) -> DataFrame:
-    """rows (key, sequence, cost, closes) -> (key, sequence, grp, fresh_end): fresh_end is the cost counted in the last group so far."""
-    arrays = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sequence", "cost", "closes"))).alias("rows"))
-    start = F.struct(F.lit(0).alias("fresh"), F.lit(0).alias("grp"), F.array().cast("array<struct<sequence:bigint,grp:int,fresh:int>>").alias("out"))
-
-    def step(acc, r):
-        cut = (acc["fresh"] >= low) & (acc["fresh"] + r["cost"] > high)
-        grp = F.when(cut, acc["grp"] + 1).otherwise(acc["grp"])
-        fresh = F.when(cut, r["cost"]).otherwise(acc["fresh"] + r["cost"])
-        done = (fresh >= low) & r["closes"]
-        return F.struct(
-            F.when(done, 0).otherwise(fresh).alias("fresh"),
-            F.when(done, grp + 1).otherwise(grp).alias("grp"),
-            F.concat(acc["out"], F.array(F.struct(r["sequence"].cast("long").alias("sequence"), grp.alias("grp"), fresh.alias("fresh")))).alias("out"),
-        )
-
-    folded = arrays.select(key, F.aggregate("rows", start, step, lambda acc: acc["out"]).alias("out"))
-    return folded.select(key, F.explode("out").alias("r")).select(key, "r.sequence", "r.grp", "r.fresh")
+    """rows (key, sequence, cost, closes) -> (key, sequence, grp, fresh): fresh is the cost counted in the last group so far.
+
+    A lecture's rows lie in one partition, in order, and stream past two numbers: no lecture is ever held whole."""
+    out = T.StructType([rows.schema[key], T.StructField("sequence", T.LongType()), T.StructField("grp", T.IntegerType()), T.StructField("fresh", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, fresh, grp = None, 0, -1
+        for batch in batches:
+            groups, counted = [], []
+            for lecture, cost, closes in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if grp < 0 or lecture != now:
+                    now, fresh, grp = lecture, 0, 0
+                elif fresh >= low and fresh + cost > high:
+                    fresh, grp = 0, grp + 1
+                fresh += cost
+                groups.append(grp)
+                counted.append(fresh)
+                if closes and fresh >= low:
+                    fresh, grp = 0, grp + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(groups, pa.int32()), pa.array(counted, pa.int64())], names=out.names)
+
+    narrow = rows.select(key, F.col("sequence").cast("long").alias("sequence"), F.col("cost").cast("long").alias("cost"), "closes")
+    return narrow.repartition(key).sortWithinPartitions(key, "sequence", "cost", "closes").mapInArrow(run, out)
 
 
 def build_chunks(segments: DataFrame, low: int = CHUNK_MIN, high: int = CHUNK_MAX, overlap: int = CHUNK_OVERLAP) -> DataFrame:

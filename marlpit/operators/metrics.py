@@ -34,26 +34,40 @@ def overlaps(start: Column, end: Column, gold_start: Column, gold_end: Column, t
     return F.greatest(start, gold_start - tolerance) < F.least(end, gold_end + tolerance)
 
 
-def retrieval_scores(ranked: DataFrame, spans: DataFrame, cut: int, tolerance: float) -> DataFrame:
-    """ranked (question_id, rank, start_seconds, end_seconds), spans (question_id, span_no, gold_start, gold_end) -> for every
-    question with spans: hit, recall, reciprocal rank and timestamp hit. Questions without spans aren't scored."""
+def _first_ranks(ranked: DataFrame, spans: DataFrame, tolerance: float) -> DataFrame:
+    """For every span the ranks of the first relevant passage and of the first that starts inside; NULL where none does."""
     met = spans.join(ranked, "question_id", "left")
-    relevant = F.coalesce(overlaps(F.col("start_seconds"), F.col("end_seconds"), F.col("gold_start"), F.col("gold_end"), tolerance), F.lit(False))
-    inside = F.coalesce(F.col("start_seconds").between(F.col("gold_start") - tolerance, F.col("gold_end") + tolerance), F.lit(False))
-    met = met.withColumns({"relevant": relevant, "inside": inside})
-    by_span = met.groupBy("question_id", "span_no").agg(
-        F.max(F.when(F.col("relevant") & (F.col("rank") <= cut), 1).otherwise(0)).alias("covered"),
-        F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first_rank"),
-        F.max(F.when(F.col("inside") & (F.col("rank") <= cut), 1).otherwise(0)).alias("ts"),
-    )
-    return by_span.groupBy("question_id").agg(
-        F.max("covered").alias("hit"),
-        rate(F.sum("covered"), F.count("*")).alias("recall"),
+    relevant = overlaps(F.col("start_seconds"), F.col("end_seconds"), F.col("gold_start"), F.col("gold_end"), tolerance)
+    inside = F.col("start_seconds").between(F.col("gold_start") - tolerance, F.col("gold_end") + tolerance)
+    return met.groupBy("question_id", "span_no").agg(F.min(F.when(relevant, F.col("rank"))).alias("first_rank"), F.min(F.when(inside, F.col("rank"))).alias("first_inside"))
+
+
+def retrieval_by_cut(ranked: DataFrame, spans: DataFrame, cuts: list[int], tolerance: float) -> DataFrame:
+    """ranked (question_id, rank, start_seconds, end_seconds), spans (question_id, span_no, gold_start, gold_end) -> for every
+    question with spans and every cut: hit, recall, reciprocal rank (of any rank) and timestamp hit. Questions without spans aren't scored."""
+    at = _first_ranks(ranked, spans, tolerance).withColumn("cut", F.explode(F.array(*map(F.lit, cuts))))
+    covered, ts = (F.coalesce(F.col(c) <= F.col("cut"), F.lit(False)).cast("int") for c in ("first_rank", "first_inside"))
+    return at.groupBy("question_id", "cut").agg(
+        F.max(covered).alias("hit"),
+        rate(F.sum(covered), F.count("*")).alias("recall"),
         F.round(F.coalesce(F.try_divide(F.lit(1.0), F.min("first_rank")), F.lit(0.0)), 6).alias("reciprocal_rank"),
-        F.max("ts").alias("timestamp_hit"),
+        F.max(ts).alias("timestamp_hit"),
     )
 
 
+def retrieval_scores(ranked: DataFrame, spans: DataFrame, cut: int, tolerance: float) -> DataFrame:
+    """retrieval_by_cut() of one cut."""
+    return retrieval_by_cut(ranked, spans, [cut], tolerance).drop("cut")
+
+
+def evidence_hits(used: DataFrame, spans: DataFrame, tolerance: float) -> DataFrame:
+    """used (question_id, start_seconds, end_seconds): the passages left by threshold and budget -> for every question with
+    spans whether one of them is relevant to one of its spans; 0 where no passage is left."""
+    met = spans.join(used, "question_id", "left")
+    relevant = overlaps(F.col("start_seconds"), F.col("end_seconds"), F.col("gold_start"), F.col("gold_end"), tolerance)
+    return met.groupBy("question_id").agg(F.max(F.coalesce(relevant, F.lit(False)).cast("int")).alias("evidence_hit"))
+
+
 def abstention(rows: DataFrame, *by: str) -> DataFrame:
     """rows with answerable and outcome."""
     refused = F.col("outcome") == "insufficient_evidence"

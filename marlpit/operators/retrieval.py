@@ -24,14 +24,15 @@ def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: b
 
     Ranks, thresholds and budgets look at the exact value; shown() rounds it for output. top is held between 1 and MOST.
 
-    own_lecture: only chunks of the query's lecture, query_lecture. queries (query_id, query_model, query) is a block: of up to QUERY_BLOCK rows it goes to all tasks, which rank their
-    own chunks and send on `top` for each query; a larger one is dealt in rounds of blocks, united."""
+    own_lecture: only chunks of the query's lecture, query_lecture, met by an equi-join on it, whatever the number of queries.
+    Otherwise queries (query_id, query_model, query) is a block: of up to QUERY_BLOCK rows it goes to all tasks, which rank
+    their own chunks and send on `top` for each query; a larger one is dealt in rounds of blocks, united."""
     top = min(max(top, 1), MOST)
-    n = queries.count()
+    n = 0 if own_lecture else queries.count()
     if n > QUERY_BLOCK:
         blocks = -(-n // QUERY_BLOCK)
         dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        parts = [similarities(dealt.where(F.col("__block") == b).drop("__block"), chunks, top, own_lecture) for b in range(blocks)]
+        parts = [similarities(dealt.where(F.col("__block") == b).drop("__block"), chunks, top) for b in range(blocks)]
         out = parts[0]
         for p in parts[1:]:
             out = out.union(p)
@@ -39,7 +40,7 @@ def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: b
     q = queries.withColumn("query_norm", norm(F.col("query")))
     c = chunks.where("embedding is not null").withColumn("chunk_norm", norm(F.col("embedding")))
     fits = (F.col("embedding_model") == F.col("query_model")) & (F.size("embedding") == F.size("query"))
-    near = c.join(F.broadcast(q), fits & (F.col("lecture_id") == F.col("query_lecture")) if own_lecture else fits)
+    near = c.join(q, fits & (F.col("lecture_id") == F.col("query_lecture"))) if own_lecture else c.join(F.broadcast(q), fits)
     near = near.withColumn("similarity", cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm"))).where("similarity is not null")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "sequence", "chunk_id")
     return near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model").withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)

@@ -11,7 +11,7 @@ from marlpit.schema import RAG_TOP_K
 from marlpit.sources import tables as t
 from marlpit.sources.tables import with_sql
 
-CUT, TOLERANCE = 3, 30.0
+CUT, CUTS, TOLERANCE = 3, [1, 3, 5], 30.0
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,18 @@ def retrieval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every
 
 
+def retrieval_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means for every cut."""
+    s = metrics.retrieval_by_cut(_ranked(spark, sf_dir), _spans(spark, sf_dir), CUTS, TOLERANCE)
+    return s.groupBy("cut").agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("hit", "recall", "reciprocal_rank", "timestamp_hit")])
+
+
+def evidence_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the evidence of a question meets a gold span."""
+    used = search._evidence(spark, sf_dir).select(F.col("query_id").alias("question_id"), "start_seconds", "end_seconds")
+    return metrics.evidence_hits(used, _spans(spark, sf_dir), TOLERANCE)
+
+
 def abstention_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.abstention(t.chat_logs(spark, sf_dir))
 
@@ -167,6 +179,11 @@ b as (select id, case when id % 5 = 0 then 'failed' else 'ok' end as st, case wh
 ORACLE_SQL = {
     "retrieval_scores": f"{_SCORES} select question_id, hit, recall, reciprocal_rank, timestamp_hit from sc where t = 30",
     "retrieval_means": f"{_SCORES} select t as tolerance, count(*) as n, round(avg(hit), 6) as hit, round(avg(recall), 6) as recall, round(avg(reciprocal_rank), 6) as reciprocal_rank, round(avg(timestamp_hit), 6) as timestamp_hit from sc group by t",
+    "retrieval_cuts": f"""{_SCORES}, fr as (select question_id, span_no, min(case when rel then rank end) as fr, min(case when ins then rank end) as fi from m where t = 30 group by all),
+      pc as (select question_id, c as cut, max(case when fr <= c then 1 else 0 end) as hit, round(sum(case when fr <= c then 1 else 0 end)::double / count(*), 6) as recall, round(coalesce(1.0::double / min(fr), 0), 6) as rr, max(case when fi <= c then 1 else 0 end) as ts from fr, (values (1), (3), (5)) v(c) group by all)
+      select cut, count(*) as n, round(avg(hit), 6) as hit, round(avg(recall), 6) as recall, round(avg(rr), 6) as reciprocal_rank, round(avg(ts), 6) as timestamp_hit from pc group by cut""",
+    "evidence_hit": f"""{search._EVIDENCE}, g as (select query_id, (query_id + n) * 60.0::double + 10 as gs, (query_id + n) * 60.0::double + 40 as ge from q, (values (0), (20)) v(n))
+      select g.query_id as question_id, max(case when greatest(start_seconds, gs - 30) < least(end_seconds, ge + 30) then 1 else 0 end) as evidence_hit from g left join e on e.query_id = g.query_id group by 1""",
     "abstention_rates": f"{with_sql('chat_logs')}, x as (select *, outcome = 'insufficient_evidence' as refused from chat_logs) select {_ABSTAIN} from x",
     "abstention_by_user": f"{with_sql('chat_logs')}, x as (select *, outcome = 'insufficient_evidence' as refused from chat_logs) select user_id, {_ABSTAIN} from x group by user_id",
     "citation_support": f"""{with_sql("chat_logs")}, a as (select question_id, case when k % 4 = 0 then 0 else 1 end as c from chat_logs where outcome = 'answered'),
@@ -196,7 +213,7 @@ ORACLE_SQL = {
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieval_scores, retrieval_means, abstention_rates, abstention_by_user, citation_support, correctness, cohen_kappa, latency_summary, question_latency, stage_latency,
+        retrieval_scores, retrieval_means, retrieval_cuts, evidence_hit, abstention_rates, abstention_by_user, citation_support, correctness, cohen_kappa, latency_summary, question_latency, stage_latency,
         wer_total, corpus_wer, edit_breakdown, asr_summary, midpoint_sample, run_compare, id_symmetric_difference, threshold_sweep, dataset_checks,
     )
 }
