@@ -1,8 +1,9 @@
 """Line dedup with exact references and sharded cuckoo filters, both open to insertion and deletion.
 
-References are rows (key, doc_id): one for every document that holds a long line. Counts of documents, and the largest
-document, follow from them exactly, so deleting a document's references undoes its insertion. Keys in enough documents
-are frequent; every shard of them has a cuckoo filter, from which a key is taken out again when it stops being frequent.
+References are rows (key, doc_id): one for every document that holds a long line. They are kept as a log of signed rows,
+from which counts of documents, and the largest document, follow exactly, so deleting a document's references undoes
+its insertion (LineIndex). Keys in enough documents are frequent; every shard of them has a cuckoo filter, from which a
+key is taken out again when it stops being frequent.
 The filters let the references of other lines go before these are joined to the exact counts; a false positive is
 dropped by that join. A key is 128 bits of xxh3 of the trimmed, ASCII-lower-cased line.
 
@@ -69,14 +70,18 @@ class CuckooFilter:
             if len(free):
                 self.table[b, free[0]] = mark
                 return True
+        moved = []
         for kick in range(self.KICKS):
             slot = (kick * 7 + mark) % self.SLOTS
-            mark, self.table[b, slot] = int(self.table[b, slot]), mark
+            moved.append((b, slot, int(self.table[b, slot])))
+            mark, self.table[b, slot] = moved[-1][2], mark
             b = self._other(mark, b)
             free = np.flatnonzero(self.table[b] == 0)
             if len(free):
                 self.table[b, free[0]] = mark
                 return True
+        for b, slot, old in reversed(moved):
+            self.table[b, slot] = old
         return False
 
     def discard(self, mark: int, bucket: int) -> bool:
@@ -118,19 +123,61 @@ def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "k1 long, k2 long, doc_id long")
 
 
-def insert(refs: DataFrame, docs: DataFrame) -> DataFrame:
-    return refs.union(references(docs))
-
-
 def delete(refs: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """References without those of the documents whose doc_id is given."""
     return refs.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select("k1", "k2", "doc_id")
 
 
+def _counts(held: DataFrame, *also) -> DataFrame:
+    """held (k1, k2, doc_id, n: its references) -> n_docs and keep_doc, the largest of them, for every key."""
+    there = F.when(F.col("n") > 0, F.col("doc_id"))
+    return held.groupBy("k1", "k2").agg(F.count(there).alias("n_docs"), F.max(there).alias("keep_doc"), *also)
+
+
 def frequent_keys(refs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(k1, k2, n_docs, keep_doc): exact counts of the keys in min_docs documents or more, and the largest of these."""
-    counts = refs.groupBy("k1", "k2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
-    return counts.where(F.col("n_docs") >= min_docs)
+    held = refs.groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("n"))
+    return _counts(held).where(F.col("n_docs") >= min_docs)
+
+
+class LineIndex:
+    """The kept state of line dedup: a log of references (k1, k2, doc_id, delta, batch), the frequent keys' counts, and their filters.
+
+    apply() takes one batch of inserted and deleted references. It appends signed rows to the log, takes exact counts of
+    the touched keys alone from it, and moves keys in and out of the filters: after any batches the state is that of
+    the documents left, as if these alone had been inserted. Every table lies in the shared folder."""
+
+    def __init__(self, scratch: Scratch, min_docs: int = MIN_DOCS, keys_per_shard: int = 100_000) -> None:
+        self.scratch, self.min_docs, self.keys_per_shard = scratch, min_docs, keys_per_shard
+        self.batches, self.log, self.frequent, self.filters, self.shards = 0, [], None, None, 0
+
+    def apply(self, come: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """come and gone: references (k1, k2, doc_id) of the documents inserted and deleted. All rows of a document go at once."""
+        self.batches += 1
+        signed = [r.select("k1", "k2", "doc_id", F.lit(d).alias("delta"), F.lit(self.batches).alias("batch")) for r, d in ((come, 1), (gone, -1)) if r is not None]
+        self.log += signed
+        every = self.log[0]
+        for part in self.log[1:]:
+            every = every.union(part)
+        held = every.groupBy("k1", "k2", "doc_id").agg(F.sum("delta").alias("n"), F.max("batch").alias("batch"))
+        if self.frequent is None:
+            self.frequent = self.scratch.save(_counts(held).where(F.col("n_docs") >= self.min_docs), "frequent")
+            self.shards = max(16, self.frequent.count() // self.keys_per_shard)
+            self.filters = self.scratch.save(filter_shards(self.frequent, self.shards), "filters")
+            return
+        touched = _counts(held, F.max("batch").alias("batch")).where(F.col("batch") == self.batches).drop("batch")
+        old = self.frequent.select("k1", "k2", F.lit(True).alias("was"))
+        # Of the touched keys only those that are frequent, or were, are written.
+        touched = touched.join(old, ["k1", "k2"], "left").where((F.col("n_docs") >= self.min_docs) | F.col("was"))
+        touched = self.scratch.save(touched, "touched")
+        now = F.col("n_docs") >= self.min_docs
+        filters = update_filters(self.filters, touched.where(~now & F.col("was")), touched.where(now & F.col("was").isNull()), self.shards)
+        filters = self.scratch.save(filters, "filters")
+        frequent = self.frequent.join(touched, ["k1", "k2"], "left_anti").union(touched.where(now).select("k1", "k2", "n_docs", "keep_doc"))
+        frequent = self.scratch.save(frequent, "frequent")
+        for table in (self.filters, self.frequent, touched):
+            self.scratch.drop(table)
+        self.filters, self.frequent = filters, frequent
 
 
 def filter_shards(keys: DataFrame, shards: int) -> DataFrame:
@@ -152,22 +199,23 @@ def update_filters(filters: DataFrame, gone: DataFrame, come: DataFrame, shards:
 
     def change(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         tables = [CuckooFilter(np.frombuffer(f, np.uint16).reshape(-1, CuckooFilter.SLOTS).copy()) for f in old["filter"]]
+        k1, k2, out = new["k1"].to_numpy(), new["k2"].to_numpy(), new["gone"].to_numpy()
+        places = [tuple(x.tolist() for x in t._places(k1, k2)) for t in tables]
+        free = [int((t.table == 0).sum() - 0.1 * t.table.size) for t in tables]
         late = []
-        for k1, k2, out in zip(new["k1"], new["k2"], new["gone"]):
-            pair = np.array([k1]), np.array([k2])
+        for i in range(len(new)):
             done = False
-            for t in tables:
-                mark, bucket = (int(x[0]) for x in t._places(*pair))
-                if out:
+            for n, t in enumerate(tables):
+                mark, bucket = places[n][0][i], places[n][1][i]
+                if out[i]:
                     done = t.discard(mark, bucket)
-                elif (t.table == 0).sum() > 0.1 * t.table.size:
-                    kept = t.table.copy()
+                elif free[n] > 0:
                     done = t.add(mark, bucket)
-                    t.table = t.table if done else kept
                 if done:
+                    free[n] += 1 if out[i] else -1
                     break
-            if not out and not done:
-                late.append((k1, k2))
+            if not out[i] and not done:
+                late.append((k1[i], k2[i]))
         if late:
             tables.append(CuckooFilter.built_from(*np.array(late, dtype=np.int64).T.copy()))
         return pd.DataFrame({"shard": [key[0]] * len(tables), "filter": [t.table.tobytes() for t in tables]})
@@ -211,11 +259,29 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     scratch = Scratch(docs.sparkSession, "lines")
     source = docs.drop("n_lines", "n_dropped")
     refs = scratch.save(references(source, min_chars), "references")
-    frequent = scratch.save(frequent_keys(refs, min_docs), "frequent")
-    shards = max(16, frequent.count() // keys_per_shard)
-    filters = scratch.save(filter_shards(frequent, shards), "filters")
-    likely = probe(refs, filters, shards)
-    exact = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    index = LineIndex(scratch, min_docs, keys_per_shard)
+    index.apply(come=refs)
+    return drop_frequent(source, refs, index, min_chars)
+
+
+def dedup_lines_in_batches(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, keys_per_shard: int = 100_000, parts: int = 16) -> DataFrame:
+    """dedup_lines() by way of changes: all documents but a part are inserted, then that part while another is deleted, then
+    the deleted part again. Parts are cut by the hash of doc_id; the index, and so the result, is that of one insertion."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    source = docs.drop("n_lines", "n_dropped")
+    refs = scratch.save(references(source, min_chars), "references")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+    index = LineIndex(scratch, min_docs, keys_per_shard)
+    index.apply(come=refs.where(part != 0))
+    index.apply(come=refs.where(part == 0), gone=refs.where(part == 1))
+    index.apply(come=refs.where(part == 1))
+    return drop_frequent(source, refs, index, min_chars)
+
+
+def drop_frequent(source: DataFrame, refs: DataFrame, index: LineIndex, min_chars: int = MIN_CHARS) -> DataFrame:
+    """source without the lines that index counts as frequent, but for each one's largest document. refs are source's references."""
+    likely = probe(refs, index.filters, index.shards)
+    exact = index.frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     lost = likely.join(exact, ["k1", "k2", "salt"]).where("doc_id is null or doc_id <> keep_doc")
     drops = lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("__drop")).withColumnRenamed("doc_id", "__doc")
     joined = source.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")

@@ -72,7 +72,7 @@ def op4_weighted_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> Da
 
 def op5_cuckoo_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    return line_dedup.dedup_lines_in_batches(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP5_SQL = r"""

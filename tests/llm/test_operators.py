@@ -357,7 +357,7 @@ def test_line_dedup(docs):
 def test_line_references_can_be_deleted(spark, docs):
     refs = line_dedup.references(docs)
     some, rest = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
-    back = line_dedup.delete(line_dedup.insert(line_dedup.references(rest), some), some)
+    back = line_dedup.delete(line_dedup.references(rest).union(line_dedup.references(some)), some)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, line_dedup.references(rest).collect()))
     before, after = line_dedup.frequent_keys(refs), line_dedup.frequent_keys(back)
     shards = 4
@@ -368,6 +368,36 @@ def test_line_references_can_be_deleted(spark, docs):
     assert line_dedup.probe(before.select("k1", "k2", F.lit(1).cast("long").alias("doc_id")), filters, shards).count() == after.count()
 
 
+def test_line_index_after_changes(spark, docs):
+    scratch = Scratch(spark, "lines")
+    refs = scratch.save(line_dedup.references(docs), "references")
+    some, rest = refs.where("doc_id % 2 = 0"), refs.where("doc_id % 2 = 1")
+    index = line_dedup.LineIndex(scratch, min_docs=3)
+    index.apply(come=some)
+    index.apply(come=rest)
+    full = {tuple(r) for r in index.frequent.collect()}
+    assert full == {tuple(r) for r in line_dedup.frequent_keys(refs, 3).collect()}
+    index.apply(gone=some)
+    left = {tuple(r) for r in index.frequent.collect()}
+    assert left == {tuple(r) for r in line_dedup.frequent_keys(rest, 3).collect()} and len(left) < len(full)
+    # The filters hold the keys that stay frequent and, fingerprints apart, no others.
+    every = spark.createDataFrame(list(full), "k1 long, k2 long, n_docs long, keep_doc long").select("k1", "k2", F.lit(1).cast("long").alias("doc_id"))
+    assert {(r.k1, r.k2) for r in line_dedup.probe(every, index.filters, index.shards).collect()} == {x[:2] for x in left}
+    index.apply(come=some)
+    assert {tuple(r) for r in index.frequent.collect()} == full
+
+
+def test_line_dedup_in_batches_equals_one_insertion(docs):
+    one = {tuple(r) for r in line_dedup.dedup_lines(docs, min_docs=3).collect()}
+    assert one == {tuple(r) for r in line_dedup.dedup_lines_in_batches(docs, min_docs=3, parts=3).collect()}
+
+
+def test_cuckoo_filter_undoes_a_failed_insertion():
+    full = line_dedup.CuckooFilter(np.arange(1, 17, dtype=np.uint16).reshape(4, 4))
+    before = full.table.copy()
+    assert not full.add(99, 1) and (full.table == before).all()
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(5)
     k1, k2 = rng.integers(-(1 << 62), 1 << 62, (2, 5000))
