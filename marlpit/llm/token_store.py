@@ -29,8 +29,8 @@ from marlpit.llm.common import shuffle_width
 from marlpit.llm.sharding import order_ranges, range_offsets
 
 SLICE = 256
-#: A worker keeps the ids of so many words, none longer than LONG bytes.
-MAX_WORDS, LONG = 600_000, 64
+#: A worker keeps the ids of at most twice so many words, none longer than LONG bytes.
+MAX_WORDS, LONG = 120_000, 64
 #: The dictionary is trained on the documents of lowest hash, so many at most, cut into pieces of so many bytes, and of these on
 #: the pieces of lowest hash, so many at most; its size in bytes at most.
 SAMPLE_DOCUMENTS, PIECE_BYTES, SAMPLE_PIECES, DICTIONARY_BYTES = 1500, 1 << 16, 2048, 112_640
@@ -49,20 +49,24 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """The serialized ids of texts. Known words are kept in two generations of MAX_WORDS each: a full one replaces the older one,
+        and words met again move to the new one, so that frequent words stay."""
         cut = [t.encode().split() for t in texts]
-        words = {w for part in cut for w in part}
-        long = {w for w in words if len(w) > LONG}
-        new = words.difference(self.words)
-        if len(self.words) + len(new) > MAX_WORDS:
-            self.words.clear()
-            new = words
-        self._learn(list(new))
+        missing = {w for part in cut for w in part}.difference(self.words)
+        if len(self.words) + len(missing) > MAX_WORDS:
+            self.older, self.words = self.words, {}
+            missing = {w for part in cut for w in part}
+        again = missing & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        self._learn(list(missing - again))
         get = self.words.__getitem__
         out = [b"".join(map(get, part)) + self.end for part in cut]
-        for w in long:
-            del self.words[w]
+        for w in missing:
+            if len(w) > LONG:
+                del self.words[w]
         return out
 
     def _learn(self, new: list[bytes]) -> None:
