@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.llm import bpe, chat, cover_tree, line_dedup, minhash, mixing, quality, sharding, token_store, toxicity
+from marlpit.llm import bpe, chat, cover_tree, divergence, fingerprint, line_dedup, minhash, mixing, quality, sharding, token_store, toxicity, whitening
 from marlpit.llm.common import Scratch, read_table
 
 
@@ -138,6 +138,36 @@ def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_lobpcg_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=16, scale=64.0, shift=1_000_000)
+
+
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+OP12_SQL = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as body from documents),
+w as (select id, lang, source, translate(unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+k as (select lang, term, count(*) as n_lang from w group by lang, term having count(distinct id) >= 30),
+v as (select lang, count(*) as n_terms, sum(n_lang) as total_lang from k group by lang),
+c as (select w.lang, w.source, w.term, count(*) as n from w join k using (lang, term) group by w.lang, w.source, w.term),
+s as (select lang, source, sum(n) as total from c group by lang, source),
+g as (select x.lang, x.source, coalesce(total, 0) as total, n_terms, total_lang from (select distinct lang, source from d) x left join s using (lang, source) left join v using (lang)),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 5) // (total + 5 * n_terms) as p, 1 + cast(1000000000 as hugeint) * (n_lang + 5) // (total_lang + 5 * n_terms) as q
+  from g join k using (lang) left join c using (lang, source, term)),
+f as (select lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b using (lang, term) where a.source <> b.source group by lang, a.source, b.source),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+term as (select lang, source, 'term' as part, term as item, p - q as value from p where n > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pair union all select * from term))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from r where part = 'pair' or rank <= 50
+"""
+
+
+def op13_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -151,6 +181,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_first_quality,
         op9_dictionary_token_store,
         op10_entropy_balanced_mix,
+        op11_lobpcg_whitening,
+        op12_source_divergence_audit,
+        op13_chunk_fingerprints,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_prefix_targets": OP3_SQL, "op5_cuckoo_line_dedup": OP5_SQL, "op8_line_first_quality": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_prefix_targets": OP3_SQL, "op5_cuckoo_line_dedup": OP5_SQL, "op8_line_first_quality": OP8_SQL, "op12_source_divergence_audit": OP12_SQL}
