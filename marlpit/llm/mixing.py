@@ -1,9 +1,10 @@
 """Mixing sources to target weights by entropy balancing.
 
 Every document gets a rate between 0 and max_rate. Among all rates that meet the sources' word targets, those with the
-largest entropy relative to the source's mean rate are taken; they are exponentially tilted: log(w / (max_rate - w)) is
-the mean rate's, plus a multiplier of the source times the document's size. The multipliers solve a convex dual by
-Newton steps (kept inside a bracket), each step one aggregation of (source, size) counts. Rates become whole copies:
+largest entropy relative to base_rate (one copy of each document) are taken; they are exponentially tilted:
+log(w / (max_rate - w)) is the base rate's, plus a multiplier of the source times the document's size, so a source that is
+to give more words than it has takes its long documents more often, and one that is to give fewer its short ones. The
+multipliers solve a convex dual by Newton steps (kept inside a bracket), each step one aggregation of (source, size) counts. Rates become whole copies:
 sizes of a source are visited from large to small, each taking the number of copies that brings the running sum of words
 nearest to what the rates ask for, and the copies are dealt among the documents of that size in order of a hash.
 
@@ -19,8 +20,10 @@ gives no rows; other columns pass through, except those named like the results.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.llm.common import ASCII_SPACE, Scratch
@@ -51,21 +54,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     return ranked.withColumn("at", F.coalesce(level, F.lit(float("inf")))).select("source", "source_size", "weight", F.least("cap", F.col("at") * F.col("weight")).alias("target"))
 
 
-def tilted_rates(bins: DataFrame, targets: DataFrame, scratch: Scratch, max_rate: float = 2.0, tolerance: float = 1e-9, max_steps: int = 60) -> DataFrame:
-    """bins (source, size, n) with `rate` for every bin. Newton on each source's multiplier of size / mean size of words."""
+def solve_multipliers(bins: DataFrame, targets: DataFrame, scratch: Scratch, max_rate: float = 2.0, base_rate: float = 1.0, tolerance: float = 1e-9, max_steps: int = 100) -> DataFrame:
+    """(source, scale, target, share, mult): by Newton, each source's multiplier of size / scale, its mean size of words.
+
+    bins: (source, size, n) with size > 0. share is the target's of max_rate times the source's size; a source at its cap,
+    or without a target, needs no multiplier."""
     base = bins.groupBy("source").agg(F.try_divide(F.sum(F.col("size").cast("double") * F.col("size") * F.col("n")), F.sum(F.col("size") * F.col("n"))).alias("scale"))
     state = base.join(targets, base["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     share = F.coalesce(F.try_divide(F.col("target"), F.col("source_size") * F.lit(max_rate)), F.lit(0.0))
-    # A source at its cap, or without a target, needs no solving: all or none.
-    state = state.select(
-        "source", "scale", "target", share.alias("share"), F.log(F.try_divide(share, 1 - share)).alias("logit"), F.lit(0.0).alias("mult"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(False).alias("done")
-    ).withColumn("done", (F.col("share") <= 0) | (F.col("share") >= 1 - 1e-12))
-    state = scratch.save(state, "newton")
+    state = state.select("source", "scale", "target", share.alias("share"), F.lit(0.0).alias("mult"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"))
+    state = scratch.save(state.withColumn("done", (F.col("share") <= 0) | (F.col("share") >= 1 - 1e-12)), "newton")
     for _ in range(max_steps):
         joined = bins.join(state.where("not done"), bins["source"].eqNullSafe(state["source"])).drop(bins["source"])
         x = F.col("size") / F.col("scale")
-        z = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("logit") + F.col("mult") * x))
-        p = 1 / (1 + F.exp(-z))
+        p = _tilted(max_rate, base_rate)
         words = F.col("size") * F.col("n")
         sums = joined.groupBy("source").agg(F.sum(words * F.lit(max_rate) * p).alias("got"), F.sum(words * F.lit(max_rate) * p * (1 - p) * x).alias("slope"))
         step = state.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
@@ -74,17 +76,28 @@ def tilted_rates(bins: DataFrame, targets: DataFrame, scratch: Scratch, max_rate
         newton = F.col("mult") - F.try_divide(gap, F.col("slope"))
         inside = (F.col("slope") > 0) & (newton > F.col("low")) & (newton < F.col("high"))
         middle = F.when(F.col("high") - F.col("low") > 1e5, F.col("mult") - 4 * F.signum(gap) * (1 + F.abs("mult"))).otherwise((F.col("low") + F.col("high")) / 2)
-        met = F.abs(gap) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.col("target"))
+        # A bracket that rounding closes is the answer too.
+        met = (F.abs(gap) <= F.lit(tolerance) * F.greatest(F.lit(1.0), F.col("target"))) | (F.col("high") - F.col("low") <= 1e-15 * F.abs("mult"))
         step = step.withColumn("mult", F.when(F.col("done") | met, F.col("mult")).when(inside, newton).otherwise(middle)).withColumn("done", F.col("done") | met)
         new = scratch.save(step.drop("got", "slope"), "newton")
         scratch.drop(state)
         state = new
         if state.where("not done").isEmpty():
             break
-    x = F.col("size") / F.col("scale")
-    z = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("logit") + F.col("mult") * x))
-    rate = F.when(F.col("share") >= 1 - 1e-12, F.lit(max_rate)).when(F.col("share") <= 0, F.lit(0.0)).otherwise(F.lit(max_rate) / (1 + F.exp(-z)))
-    return bins.join(state, bins["source"].eqNullSafe(state["source"])).drop(state["source"]).select("source", "size", "n", rate.alias("rate"))
+    return state.select("source", "scale", "target", "share", "mult")
+
+
+def _tilted(max_rate: float, base_rate: float) -> Column:
+    """Of columns mult, size and scale: the rate over max_rate."""
+    z = F.lit(math.log(base_rate / (max_rate - base_rate))) + F.col("mult") * F.col("size") / F.col("scale")
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
+
+
+def tilted_rates(bins: DataFrame, targets: DataFrame, scratch: Scratch, max_rate: float = 2.0, base_rate: float = 1.0, tolerance: float = 1e-9) -> DataFrame:
+    """bins (source, size, n) with `rate` for every bin."""
+    solved = solve_multipliers(bins, targets, scratch, max_rate, base_rate, tolerance)
+    rate = F.when(F.col("share") >= 1 - 1e-12, F.lit(max_rate)).when(F.col("share") <= 0, F.lit(0.0)).otherwise(F.lit(max_rate) * _tilted(max_rate, base_rate))
+    return bins.join(solved, bins["source"].eqNullSafe(solved["source"])).drop(solved["source"]).select("source", "size", "n", rate.alias("rate"))
 
 
 def bin_copies(rated: DataFrame, max_rate: float = 2.0) -> DataFrame:
@@ -124,12 +137,14 @@ def cut_hashes(narrow: DataFrame, fine: DataFrame, copies: DataFrame) -> DataFra
     return out.where("each > 0 or rest > 0").select(F.col("s").alias("source"), F.col("z").alias("size"), "each", "cut", "tied", "more")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), total_rate: float = 1.5, max_rate: float = 2.0, rows_per_task: int = 500_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), total_rate: float = 1.5, max_rate: float = 2.0, base_rate: float = 1.0, rows_per_task: int = 500_000) -> DataFrame:
     """docs with size, source_size, target (its source's), copies (at most max_rate, a whole number) and taken = copies * size.
 
     Slices of the hash are as many as keep one of a (source, size) below rows_per_task rows, 64 at least."""
     if max_rate != int(max_rate):
         raise ValueError("copies are whole: max_rate must be a whole number")
+    if not 0 < base_rate < max_rate:
+        raise ValueError("base_rate must lie between 0 and max_rate")
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.drop(*RESULTS).withColumn("size", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"[^{ASCII_SPACE}]+"), F.lit(0))).cast("long"))
     narrow = scratch.save(rows.select(F.col("source").cast("string").alias("source"), "size", F.xxhash64("doc_id").alias("hash")), "sizes")
@@ -138,7 +153,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), total_rat
     fine = scratch.save(narrow.groupBy("source", "size", "slice").agg(F.count("*").alias("n")), "slices")
     bins = scratch.save(fine.groupBy("source", "size").agg(F.sum("n").alias("n")), "bins")
     targets = scratch.save(source_targets(bins.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, total_rate, max_rate), "targets")
-    rated = tilted_rates(bins.where("size > 0"), targets, scratch, max_rate)
+    rated = tilted_rates(bins.where("size > 0"), targets, scratch, max_rate, base_rate)
     cuts = scratch.save(cut_hashes(narrow, fine, bin_copies(rated, max_rate)), "cuts")
     found = cuts.agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("more") < F.col("tied")), F.lit(False)).alias("parted")).first()
     extra = F.when(F.col("__hash") < F.col("__cut"), 1).when(F.col("__hash") > F.col("__cut"), 0)

@@ -576,11 +576,43 @@ def test_mixing(docs):
     assert again == {(r.doc_id, r.taken) for r in out}
 
 
+def tilted_by_hand(sizes, target, max_rate=2.0):
+    """Bisection on the multiplier of single documents, relative to one copy of each."""
+    sizes = np.array(sizes, dtype=np.float64)
+    rates = lambda m: max_rate / (1 + np.exp(-np.clip(m * sizes, -700, 700)))
+    low, high = -100.0, 100.0
+    for _ in range(300):
+        middle = (low + high) / 2
+        low, high = (middle, high) if (rates(middle) * sizes).sum() < target else (low, middle)
+    return middle, rates(middle)
+
+
 def test_rates_are_tilted(spark):
-    bins = spark.createDataFrame([("a", 10, 5), ("a", 100, 5), ("b", 7, 3)], "source string, size long, n long")
-    targets = spark.createDataFrame([("a", 550, 700.0), ("b", 21, 42.0)], "source string, source_size long, target double")
+    rng = random.Random(12)
+    sizes = {"more": [rng.randrange(1, 900) for _ in range(60)], "fewer": [rng.randrange(1, 900) for _ in range(60)], "long": [3, 5, 8, 20_000], "full": [7, 7], None: [10, 100]}
+    share = {"more": 1.6, "fewer": 0.3, "long": 1.1, "full": 2.0, None: 1.9}
+    bins = spark.createDataFrame([(s, z, zs.count(z)) for s, zs in sizes.items() for z in set(zs)], "source string, size long, n long")
+    targets = spark.createDataFrame([(s, sum(zs), share[s] * sum(zs)) for s, zs in sizes.items()], "source string, source_size long, target double")
+    found = {r.source: r for r in mixing.solve_multipliers(bins, targets, Scratch(spark, "r")).collect()}
     rate = {(r.source, r.size): r.rate for r in mixing.tilted_rates(bins, targets, Scratch(spark, "r")).collect()}
-    assert abs(50 * rate["a", 10] + 500 * rate["a", 100] - 700) < 1e-5 and rate["b", 7] == 2.0
+    for s, zs in sizes.items():
+        if s == "full":
+            assert rate[s, 7] == 2.0
+            continue
+        mult, expected = tilted_by_hand(zs, share[s] * sum(zs))
+        assert abs(found[s].mult / found[s].scale / mult - 1) < 1e-6 and found[s].mult * (share[s] - 1) > 0
+        assert all(abs(rate[s, z] - e) < 1e-6 for z, e in zip(zs, expected))
+        assert len({round(rate[s, z], 9) for z in zs}) > 1
+    # more words than there are: long documents more often, and the other way round
+    assert rate["more", max(sizes["more"])] > 1.5 > 1.2 > rate["more", min(sizes["more"])] > 1
+    assert rate["fewer", max(sizes["fewer"])] < 0.5 < 0.9 < rate["fewer", min(sizes["fewer"])] < 1
+
+
+def test_copies_follow_the_tilt(spark):
+    frame = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 2 == 0, 10).otherwise(100)).alias("text"), F.lit("s").alias("source"))
+    mean = {r.size: r.c for r in mixing.mix(frame).groupBy("size").agg(F.avg("copies").alias("c")).collect()}
+    _, expected = tilted_by_hand([10] * 300 + [100] * 300, 1.5 * 33_000)
+    assert abs(mean[10] - expected[0]) < 0.05 and abs(mean[100] - expected[-1]) < 0.01 and mean[10] + 0.2 < mean[100]
 
 
 # queries
