@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from marlpit.functions.text import cut_text
 from marlpit.functions.vector import cosine, norm
-from marlpit.schema import ANSWER_MOST, INSUFFICIENT
+from marlpit.schema import ANSWER_MOST, INSUFFICIENT, LIBRARY_CANDIDATES, MIN_SIMILARITY, SEARCH_LIMIT, SEARCH_PER_LECTURE
 
 #: A block of queries of at most this many rows is sent to all tasks.
 QUERY_BLOCK = 4096
-#: No query gets more chunks than this.
-MOST = 50
+#: No query gets more chunks than this from one lecture, or from the library.
+LECTURE_MOST, LIBRARY_MOST = 50, 100
 
 
 def shown() -> Column:
@@ -21,13 +21,15 @@ def shown() -> Column:
 
 def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: bool = False) -> DataFrame:
     """Every query's `top` most similar chunks of the same model and length, by exact similarity; ties go to the smaller sequence.
+    Vectors that are null, zero or not finite are similar to nothing.
 
-    Ranks, thresholds and budgets look at the exact value; shown() rounds it for output. top is held between 1 and MOST.
+    Ranks, thresholds and budgets look at the exact value; shown() rounds it for output. top is held between 1 and the most
+    that its kind of search gives: LECTURE_MOST chunks of one lecture, LIBRARY_MOST of all.
 
     own_lecture: only chunks of the query's lecture, query_lecture, met by an equi-join on it, whatever the number of queries.
     Otherwise queries (query_id, query_model, query) is a block: of up to QUERY_BLOCK rows it goes to all tasks, which rank
     their own chunks and send on `top` for each query; a larger one is dealt in rounds of blocks, united."""
-    top = min(max(top, 1), MOST)
+    top = min(max(top, 1), LECTURE_MOST if own_lecture else LIBRARY_MOST)
     n = 0 if own_lecture else queries.count()
     if n > QUERY_BLOCK:
         blocks = -(-n // QUERY_BLOCK)
@@ -41,12 +43,12 @@ def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: b
     c = chunks.where("embedding is not null").withColumn("chunk_norm", norm(F.col("embedding")))
     fits = (F.col("embedding_model") == F.col("query_model")) & (F.size("embedding") == F.size("query"))
     near = c.join(q, fits & (F.col("lecture_id") == F.col("query_lecture"))) if own_lecture else c.join(F.broadcast(q), fits)
-    near = near.withColumn("similarity", cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm"))).where("similarity is not null")
+    near = near.withColumn("similarity", cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm"))).where("similarity is not null and not isnan(similarity)")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "sequence", "chunk_id")
     return near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model").withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
 
 
-def search_content(queries: DataFrame, chunks: DataFrame, lectures: DataFrame, candidates: int, threshold: float, per_lecture: int, limit: int) -> DataFrame:
+def search_content(queries: DataFrame, chunks: DataFrame, lectures: DataFrame, candidates: int = LIBRARY_CANDIDATES, threshold: float = MIN_SIMILARITY, per_lecture: int = SEARCH_PER_LECTURE, limit: int = SEARCH_LIMIT) -> DataFrame:
     """Candidates first, then the threshold, then the cap for each lecture, then the limit: a lecture may crowd out others among the candidates."""
     ready = lectures.where("status = 'READY'").select("lecture_id", "title", "user_id")
     near = similarities(queries, chunks.join(ready, "lecture_id"), candidates).where(F.col("similarity") >= threshold)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marlpit.functions import text as tx
 from marlpit.operators import retrieval
+from marlpit.operators.vector_index import VectorIndex
 from marlpit.schema import CONTEXT_TOKENS, RAG_TOP_K, SEARCH_CANDIDATES, SEARCH_LIMIT, SEARCH_PER_LECTURE
+from marlpit.sources import files
 from marlpit.sources import tables as t
 from marlpit.sources.tables import with_sql
 
@@ -80,6 +82,24 @@ def index_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.index_report(t.chunks(spark, sf_dir), "mini-a")
 
 
+def vector_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest READY chunks of every query through a kept index, at the fewest probes with a recall of 0.9."""
+    chunks = t.chunks(spark, sf_dir)
+    index = VectorIndex.build(chunks, files.work_dir(spark, "index"))
+    probes, recall = index.calibrate(_queries(chunks), chunks, 10)
+    ready = t.lectures(spark, sf_dir).where("status = 'READY'")
+    out = index.search(_queries(chunks), 10, probes, ready)
+    return out.select("query_id", "rank", "chunk_id", retrieval.shown(), F.lit(probes).alias("probes"), F.lit(index.lists).alias("lists"), F.lit(recall).alias("measured_recall"))
+
+
+def vector_index_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every list probed, which is the exact search."""
+    chunks = t.chunks(spark, sf_dir)
+    index = VectorIndex.build(chunks, files.work_dir(spark, "index"))
+    out = index.search(_queries(chunks), 10, index.lists, t.lectures(spark, sf_dir).where("status = 'READY'"))
+    return out.select("query_id", "rank", "chunk_id", retrieval.shown())
+
+
 def segment_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every event, the chunk of its lecture playing at its time: the last that started. Union and a running last, no range join."""
     key = F.expr("cast(pmod(user_id, 10) AS long)")
@@ -126,6 +146,7 @@ ORACLE_SQL = {
     "search_content": _search_sql(THRESHOLD),
     "search_content_strict": _search_sql(0.6),
     "vector_topk_lecture": f"{_SIM}, p as (select *, {_RANK} as place from s where lecture_id = query_lecture) select query_id, place, chunk_id, round(similarity, 4) as similarity from p where place <= {RAG_TOP_K}",
+    "vector_index_all_lists": f"{_SIM}, r as (select s.*, {_RANK} as rank from s join lectures l on l.lecture_id = s.lecture_id and l.status = 'READY') select query_id, rank, chunk_id, round(similarity, 4) as similarity from r where rank <= 10",
     "evidence_budget": f"{_EVIDENCE} select query_id, number, chunk_id, round(similarity, 4) as similarity, token_estimate from e",
     "evidence_prompt": f"""{_EVIDENCE}, t as (select query_id, number, '[' || number || '] (' || {_clock_sql("start_seconds")} || '-' || {_clock_sql("end_seconds")} || ') ' || translate(text, '<>', '‹›') as line from e),
       g as (select query_id, count(*) as n_passages, string_agg(line, chr(10) || chr(10) order by number) as prompt from t group by query_id) select query_id, n_passages, length(prompt) as n_chars, sha256(prompt) as prompt_sha256 from g""",
@@ -145,5 +166,5 @@ ORACLE_SQL = {
       select lecture_id, sequence, place from p where contains(lower(raw_text), 'tion')""",
 }
 QUERIES = {"search_content": _search(THRESHOLD), "search_content_strict": _search(0.6)} | {
-    f.__name__: f for f in (vector_topk_lecture, evidence_budget, evidence_prompt, interpret_answers, self_retrieval, index_completeness, segment_asof, segment_find)
+    f.__name__: f for f in (vector_topk_lecture, vector_index_search, vector_index_all_lists, evidence_budget, evidence_prompt, interpret_answers, self_retrieval, index_completeness, segment_asof, segment_find)
 }

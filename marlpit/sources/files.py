@@ -6,6 +6,7 @@ import io
 import re
 import tarfile
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,12 +18,18 @@ DATASET = """dataset_id string, version string, split string, frozen boolean,
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir; on a local master without one, a temporary folder."""
+    """A new folder under spark.checkpoint.dir; on a local master without one, a temporary folder. It goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix=f"{label}-") if not base else f"{base.rstrip('/')}/{label}-{next(tempfile._get_candidate_names())}"
-    return made if base else f"file://{made}"
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="marlpit-")
+    made = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return made
 
 
 def exists(spark: SparkSession, path: str) -> bool:
