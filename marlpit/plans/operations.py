@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from marlpit.operators import jobs as ops
 from marlpit.schema import LECTURE_STATUSES, RATE_LIMIT, RATE_WINDOW, STAGES
+from marlpit.sources import files
 from marlpit.sources import tables as t
 from marlpit.sources.tables import with_sql
-from marlpit.streaming import live
+from marlpit.streaming import leases, live
+from marlpit.streaming.queue import JobQueue
 
 NOW = "1998-06-01 00:00:00"
 
@@ -113,6 +115,26 @@ def rate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.rate_counts(e, 3600).select("operation", "subject", F.col("from").cast("timestamp_ntz").alias("from"), "n")
 
 
+def lease_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a command for its user's job, by one of three workers; leases last two days."""
+    e = t.table(spark, sf_dir, "events")
+    kinds = ["enqueue", "claim", "renew", "claim", "fail", "renew", "finish", "retry"]
+    command = F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.xxhash64("event_id"), F.lit(len(kinds))) + 1).cast("int"))
+    c = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), command.alias("command"), F.concat(F.lit("w"), F.pmod("event_id", F.lit(3))).alias("owner"), F.col("ts").cast("timestamp").alias("at"))
+    return leases.lease_answers(c, lease_ms=2 * 86_400_000).withColumns({n: F.col(n).cast("timestamp_ntz") for n in ("at", "first_started")})
+
+
+def notification_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as notifications about their users: streamed into a queue, each user once, and taken in two takes."""
+    queue = JobQueue(spark, files.work_dir(spark, "queue"))
+    source = spark.readStream.schema(t.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    notices = source.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("at"))
+    queue.announce(notices, ttl="3650 days").awaitTermination()
+    for take, most in (("first", 100), ("rest", 2_000_000_000)):
+        queue.take(take, most)
+    return queue.taken().groupBy("job_id").agg(F.count("*").alias("n_taken"))
+
+
 _J = with_sql("jobs")
 _R = with_sql("stage_runs")
 _T = f"timestamp '{NOW}'"
@@ -151,6 +173,7 @@ ORACLE_SQL = {
       select doc_id, fingerprint from n where fingerprint is null or nth = 1""",
     "presence": """with g as (select user_id, ts, case when ts >= lag(ts) over (partition by user_id order by ts) + interval 6 hours then 1 else 0 end as s from events), r as (select *, sum(s) over (partition by user_id order by ts rows unbounded preceding) as run from g)
       select user_id as worker, min(ts) as "from", max(ts) + interval 6 hours as until, count(*) as n from r group by user_id, run""",
+    "notification_queue": "select user_id as job_id, 1 as n_taken from events where user_id is not null group by user_id",
     "rate_windows": """select event_type as operation, user_id as subject, date_trunc('hour', ts) as "from", count(*) as n from events group by all""",
 }
-QUERIES = {f.__name__: f for f in (job_claim, job_recover, job_backoff, stuck_jobs, stage_state, resume_waiting, due_jobs, stage_advance, lecture_transitions, transition_report, orphans, rate_limit, dedupe_submissions, presence, rate_windows)}
+QUERIES = {f.__name__: f for f in (job_claim, job_recover, job_backoff, stuck_jobs, stage_state, resume_waiting, due_jobs, stage_advance, lecture_transitions, transition_report, orphans, rate_limit, dedupe_submissions, presence, rate_windows, lease_commands, notification_queue)}

@@ -1,13 +1,9 @@
-"""Structured Streaming: rate limits, notification dedupe, presence, leases. Every function takes a streaming DataFrame (a batch one works too, where no state is kept by hand)."""
+"""Structured Streaming without state by hand: rate limits, notification dedupe, stretches of presence. Counts and presence take a streaming DataFrame or a batch one."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def rate_counts(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
@@ -16,7 +12,7 @@ def rate_counts(events: DataFrame, seconds: int, late: str = "1 hour") -> DataFr
 
 
 def dedupe_notifications(notices: DataFrame, ttl: str = "30 seconds") -> DataFrame:
-    """A job id once within ttl."""
+    """A job id once within ttl. Streams only: a table has no watermark."""
     return notices.withWatermark("at", ttl).dropDuplicatesWithinWatermark(["job_id"])
 
 
@@ -24,35 +20,3 @@ def presence(beats: DataFrame, ttl: str = "90 seconds", late: str = "10 minutes"
     """Stretches in which a worker was alive: it is gone when no beat came for ttl."""
     return beats.withWatermark("at", late).groupBy(F.session_window("at", ttl).alias("w"), "worker").agg(F.count("*").alias("n")).select("worker", F.col("w.start").alias("from"), F.col("w.end").alias("until"), "n")
 
-
-LEASE_OUT = "job_id long, status string, attempts int, owner string"
-LEASE_STATE = "status string, attempts int, owner string, until long"
-
-
-def leases(commands: DataFrame, max_attempts: int, lease_ms: int) -> DataFrame:
-    """commands (job_id, seq, command: enqueue, claim, renew, finish; owner): the state of each job after each batch.
-
-    Commands of a batch are taken in order of seq. Only a claim and the owner's own renewal extend a lease. One that runs
-    out leaves the job queued again, or failed when it has no attempt left. Finished and failed jobs are forgotten."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts, owner, until = state.get if state.exists else ("queued", 0, "", 0)
-        now = state.getCurrentProcessingTimeMs()
-        if status == "running" and (state.hasTimedOut or now >= until):
-            status, owner = ("failed" if attempts >= max_attempts else "queued"), ""
-        for command, who in (c for pdf in [pd.concat(list(frames) or [pd.DataFrame({"seq": [], "command": [], "owner": []})]).sort_values("seq", kind="stable")] for c in zip(pdf["command"], pdf["owner"])):
-            if command == "claim" and status == "queued":
-                status, attempts, owner, until = "running", attempts + 1, who, now + lease_ms
-            elif command == "renew" and status == "running" and who == owner:
-                until = now + lease_ms
-            elif command == "finish" and status == "running" and who == owner:
-                status, owner = "succeeded", ""
-        if status in ("succeeded", "failed"):
-            state.remove()
-        else:
-            state.update((status, attempts, owner, until))
-            if status == "running":
-                state.setTimeoutDuration(max(1, until - now))
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "owner": [owner]})
-
-    return commands.groupBy("job_id").applyInPandasWithState(step, LEASE_OUT, LEASE_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)

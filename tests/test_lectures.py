@@ -1,4 +1,3 @@
-import time
 from datetime import datetime
 
 import pytest
@@ -216,25 +215,6 @@ def test_rate_limit_and_leases(spark):
     assert got == {1: ("failed", "FAILED"), 2: ("queued", None)}
 
 
-def test_streams(spark, tmp_path):
-    from marlpit.streaming import live
-
-    source = f"{tmp_path}/in"
-    spark.createDataFrame([(1, 1, "enqueue", ""), (1, 2, "claim", "a"), (1, 3, "finish", "other"), (1, 4, "renew", "other"), (2, 1, "claim", "b"), (2, 2, "finish", "b")], "job_id long, seq long, command string, owner string").coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema("job_id long, seq long, command string, owner string").parquet(source)
-    # Leases that can run out keep a stream at work, so it is watched and stopped.
-    q = live.leases(stream, 3, 600_000).writeStream.format("memory").queryName("leases").outputMode("update").trigger(processingTime="1 second").start()
-    try:
-        for _ in range(120):
-            time.sleep(0.5)
-            found = {(r.job_id, r.status) for r in spark.table("leases").collect()}
-            if len(found) == 2:
-                break
-        assert found == {(1, "running"), (2, "succeeded")}
-    finally:
-        q.stop()
-
-
 def test_without_training_data_operators():
     """The entry imports where the training-data folders are gone."""
     import os
