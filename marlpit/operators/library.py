@@ -11,6 +11,7 @@ from marlpit.schema import FINAL_STATUSES, READY_SHOWN
 #: Orders of the library; ties end on the id.
 SORTS = {
     "newest": [F.desc, "created_at", F.desc, "lecture_id"],
+    "oldest": [F.asc, "created_at", F.asc, "lecture_id"],
     "title": [F.asc, "title", F.desc, "created_at", F.desc, "lecture_id"],
     "duration": [F.desc_nulls_last, "duration_seconds", F.desc, "created_at", F.desc, "lecture_id"],
 }
@@ -60,13 +61,14 @@ def with_job(lectures: DataFrame, jobs: DataFrame) -> DataFrame:
     return lectures.join(nested, "lecture_id", "left")
 
 
-def history(chat_logs: DataFrame, lectures: DataFrame, query: str, size: int) -> DataFrame:
-    """Every user's newest questions that match in question or answer; those whose lecture isn't visible go after paging, and total stays."""
+def history(chat_logs: DataFrame, lectures: DataFrame, query: str, size: int, oldest_first: bool = False) -> DataFrame:
+    """Every user's newest (or oldest) questions that match in question or answer; those whose lecture isn't visible go after paging, and total stays."""
     q = query.strip().lower()
     found = chat_logs.where(F.lower("question").contains(q) | F.coalesce(F.lower("answer").contains(q), F.lit(False)))
     totals = found.groupBy("user_id").agg(F.count("*").alias("total"))
-    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("question_id"))
-    page = found.withColumn("place", F.row_number().over(newest).cast("long")).where(F.col("place") <= size)
+    way = F.asc if oldest_first else F.desc
+    order = Window.partitionBy("user_id").orderBy(way("created_at"), way("question_id"))
+    page = found.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= size)
     return page.join(lectures.select("lecture_id", "title"), "lecture_id").join(totals, "user_id")
 
 

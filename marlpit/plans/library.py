@@ -125,6 +125,7 @@ def upsert_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _L = with_sql("lectures")
 ORACLE_SQL = {
     "library_page_newest": _page_sql("created_at desc, lecture_id desc"),
+    "library_page_oldest": _page_sql("created_at, lecture_id"),
     "library_page_title": _page_sql("title, created_at desc, lecture_id desc"),
     "library_duration_nulls_last": _page_sql("duration_seconds desc nulls last, created_at desc, lecture_id desc"),
     "library_second_page": _page_sql("created_at desc, lecture_id desc").replace(f"place <= {PAGE}", f"place > {PAGE} and place <= {2 * PAGE}"),
@@ -166,6 +167,7 @@ ORACLE_SQL = {
 }
 QUERIES = {
     "library_page_newest": _page("newest"),
+    "library_page_oldest": _page("oldest"),
     "library_page_title": _page("title"),
     "library_duration_nulls_last": _page("duration"),
 } | {
