@@ -3,7 +3,8 @@
 References are rows (key, doc_id): one for every document that holds a long line. They are kept as a log of signed rows,
 from which counts of documents, and the largest document, follow exactly, so deleting a document's references undoes
 its insertion (LineIndex). Keys in enough documents are frequent; every shard of them has a cuckoo filter, from which a
-key is taken out again when it stops being frequent.
+key is taken out again when it stops being frequent; a filter that gets full is built anew from the shard's exact keys, and
+all are dealt anew when shards get too large. An index can be saved and opened again.
 The filters let the references of other lines go before these are joined to the exact counts; a false positive is
 dropped by that join. A key is 128 bits of xxh3 of the trimmed, ASCII-lower-cased line.
 
@@ -154,16 +155,12 @@ class LineIndex:
     def apply(self, come: DataFrame | None = None, gone: DataFrame | None = None) -> None:
         """come and gone: references (k1, k2, doc_id) of the documents inserted and deleted. All rows of a document go at once."""
         self.batches += 1
-        signed = [r.select("k1", "k2", "doc_id", F.lit(d).alias("delta"), F.lit(self.batches).alias("batch")) for r, d in ((come, 1), (gone, -1)) if r is not None]
+        signed = [r.select("k1", "k2", "doc_id", F.lit(d).cast("long").alias("delta"), F.lit(self.batches).alias("batch")) for r, d in ((come, 1), (gone, -1)) if r is not None]
         self.log += signed
-        every = self.log[0]
-        for part in self.log[1:]:
-            every = every.union(part)
-        held = every.groupBy("k1", "k2", "doc_id").agg(F.sum("delta").alias("n"), F.max("batch").alias("batch"))
+        held = self._held()
         if self.frequent is None:
             self.frequent = self.scratch.save(_counts(held).where(F.col("n_docs") >= self.min_docs), "frequent")
-            self.shards = max(16, self.frequent.count() // self.keys_per_shard)
-            self.filters = self.scratch.save(filter_shards(self.frequent, self.shards), "filters")
+            self._deal()
             return
         touched = _counts(held, F.max("batch").alias("batch")).where(F.col("batch") == self.batches).drop("batch")
         old = self.frequent.select("k1", "k2", F.lit(True).alias("was"))
@@ -171,13 +168,55 @@ class LineIndex:
         touched = touched.join(old, ["k1", "k2"], "left").where((F.col("n_docs") >= self.min_docs) | F.col("was"))
         touched = self.scratch.save(touched, "touched")
         now = F.col("n_docs") >= self.min_docs
-        filters = update_filters(self.filters, touched.where(~now & F.col("was")), touched.where(now & F.col("was").isNull()), self.shards)
-        filters = self.scratch.save(filters, "filters")
         frequent = self.frequent.join(touched, ["k1", "k2"], "left_anti").union(touched.where(now).select("k1", "k2", "n_docs", "keep_doc"))
         frequent = self.scratch.save(frequent, "frequent")
-        for table in (self.filters, self.frequent, touched):
+        old_filters, old_frequent = self.filters, self.frequent
+        self.frequent = frequent
+        if frequent.count() > 2 * self.shards * self.keys_per_shard:
+            self._deal()
+        else:
+            changed = update_filters(old_filters, touched.where(~now & F.col("was")), touched.where(now & F.col("was").isNull()), self.shards)
+            changed = self.scratch.save(changed, "changed")
+            full = changed.where("full").select("shard")
+            again = frequent.withColumn("shard", _shard(self.shards)).join(F.broadcast(full), "shard", "left_semi")  # `shards` numbers at most
+            self.filters = self.scratch.save(changed.where("not full").select("shard", "filter").union(filter_shards(again, self.shards)), "filters")
+            self.scratch.drop(changed)
+        for table in (old_filters, old_frequent, touched):
             self.scratch.drop(table)
-        self.filters, self.frequent = filters, frequent
+
+    def _held(self) -> DataFrame:
+        """(k1, k2, doc_id, n, batch): the references that all batches leave, and the last that touched them."""
+        every = self.log[0]
+        for part in self.log[1:]:
+            every = every.union(part)
+        return every.groupBy("k1", "k2", "doc_id").agg(F.sum("delta").alias("n"), F.max("batch").alias("batch"))
+
+    def _deal(self) -> None:
+        """Deals the frequent keys anew, into shards of about keys_per_shard."""
+        self.shards = max(16, self.frequent.count() // self.keys_per_shard)
+        self.filters = self.scratch.save(filter_shards(self.frequent, self.shards), "filters")
+
+    def save(self, folder: str) -> None:
+        """Writes the index to a folder that is kept: references that are left, counts, filters and sizes."""
+        self._held().where("n <> 0").select("k1", "k2", "doc_id", F.col("n").alias("delta"), "batch").write.parquet(f"{folder}/references")
+        self.frequent.write.parquet(f"{folder}/frequent")
+        self.filters.write.parquet(f"{folder}/filters")
+        sizes = [(self.batches, self.shards, self.min_docs, self.keys_per_shard)]
+        self.scratch.spark.createDataFrame(sizes, "batches int, shards int, min_docs int, keys_per_shard int").coalesce(1).write.parquet(f"{folder}/sizes")
+
+    @classmethod
+    def open(cls, scratch: Scratch, folder: str) -> LineIndex:
+        """An index that save() wrote, ready for more batches. What the folder holds isn't changed by them."""
+        read = scratch.spark.read.parquet
+        sizes = read(f"{folder}/sizes").first()
+        index = cls(scratch, sizes.min_docs, sizes.keys_per_shard)
+        index.batches, index.shards = sizes.batches, sizes.shards
+        index.log, index.frequent, index.filters = [read(f"{folder}/references")], read(f"{folder}/frequent"), read(f"{folder}/filters")
+        return index
+
+
+def _shard(shards: int):
+    return F.pmod("k1", F.lit(shards)).cast("int")
 
 
 def filter_shards(keys: DataFrame, shards: int) -> DataFrame:
@@ -187,40 +226,26 @@ def filter_shards(keys: DataFrame, shards: int) -> DataFrame:
         made = CuckooFilter.built_from(pdf["k1"].to_numpy(), pdf["k2"].to_numpy())
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [made.table.tobytes()]})
 
-    return keys.withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
+    return keys.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
 def update_filters(filters: DataFrame, gone: DataFrame, come: DataFrame, shards: int) -> DataFrame:
-    """filters after taking out the keys that stopped being frequent and adding those that became so.
+    """(shard, filter, full): filters after taking out the keys that stopped being frequent and adding those that became so.
 
-    A shard without room for its new keys, or without a filter yet, raises no error: its new keys go to a filter of
-    their own, so a shard may have several rows."""
-    keyed = gone.select("k1", "k2", F.lit(True).alias("gone")).union(come.select("k1", "k2", F.lit(False).alias("gone"))).withColumn("shard", F.pmod("k1", F.lit(shards)).cast("int"))
+    A shard has one filter, so a fingerprint that is taken out is the key's own, or one that stands for it as well. One
+    without room for its new keys, or without a filter yet, is full: it must be built anew from its exact keys."""
+    keyed = gone.select("k1", "k2", F.lit(True).alias("gone")).union(come.select("k1", "k2", F.lit(False).alias("gone"))).withColumn("shard", _shard(shards))
 
     def change(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        tables = [CuckooFilter(np.frombuffer(f, np.uint16).reshape(-1, CuckooFilter.SLOTS).copy()) for f in old["filter"]]
-        k1, k2, out = new["k1"].to_numpy(), new["k2"].to_numpy(), new["gone"].to_numpy()
-        places = [tuple(x.tolist() for x in t._places(k1, k2)) for t in tables]
-        free = [int((t.table == 0).sum() - 0.1 * t.table.size) for t in tables]
-        late = []
-        for i in range(len(new)):
-            done = False
-            for n, t in enumerate(tables):
-                mark, bucket = places[n][0][i], places[n][1][i]
-                if out[i]:
-                    done = t.discard(mark, bucket)
-                elif free[n] > 0:
-                    done = t.add(mark, bucket)
-                if done:
-                    free[n] += 1 if out[i] else -1
-                    break
-            if not out[i] and not done:
-                late.append((k1[i], k2[i]))
-        if late:
-            tables.append(CuckooFilter.built_from(*np.array(late, dtype=np.int64).T.copy()))
-        return pd.DataFrame({"shard": [key[0]] * len(tables), "filter": [t.table.tobytes() for t in tables]})
-
-    return filters.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(change, "shard int, filter binary")
+        if len(old) != 1:
+            return pd.DataFrame({"shard": [key[0]], "filter": [b""], "full": [True]})
+        table = CuckooFilter(np.frombuffer(old["filter"].iloc[0], np.uint16).reshape(-1, CuckooFilter.SLOTS).copy())
+        new = new.sort_values("gone", ascending=False, kind="stable")
+        places = zip(*(x.tolist() for x in table._places(new["k1"].to_numpy(), new["k2"].to_numpy())))
+        fits = all(table.discard(*place) if out else table.add(*place) for place, out in zip(places, new["gone"]))
+        return pd.DataFrame({"shard": [key[0]], "filter": [table.table.tobytes()], "full": [not fits]})
+
+    return filters.groupBy("shard").cogroup(keyed.groupBy("shard")).applyInPandas(change, "shard int, filter binary, full boolean")
 
 
 def probe(refs: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
@@ -282,7 +307,8 @@ def drop_frequent(source: DataFrame, refs: DataFrame, index: LineIndex, min_char
     """source without the lines that index counts as frequent, but for each one's largest document. refs are source's references."""
     likely = probe(refs, index.filters, index.shards)
     exact = index.frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lost = likely.join(exact, ["k1", "k2", "salt"]).where("doc_id is null or doc_id <> keep_doc")
+    lost = likely.join(exact.hint("merge"), ["k1", "k2", "salt"])  # the counts grow with the corpus and are never broadcast
+    lost = lost.where("doc_id is null or doc_id <> keep_doc")
     drops = lost.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("__drop")).withColumnRenamed("doc_id", "__doc")
     joined = source.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left").drop("__doc")
     return _drop_lines(joined, source.columns, source.schema, min_chars)
