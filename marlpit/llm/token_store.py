@@ -2,7 +2,8 @@
 
 Format (two Parquet tables under one folder, so that any store Spark writes to will do):
   dictionary: sha256 (hex), id_bytes (2 or 4, unsigned little-endian ids), data (binary);
-  blocks: range, block, dictionary_sha256, payload (frames end to end), index (array of doc_id, offset, length, n_tokens).
+  blocks: range, block, first_doc and last_doc (least and largest id in it), dictionary_sha256, payload (frames end to end),
+    index (array of doc_id, offset, length, n_tokens).
 Blocks in order of (range, block) hold the documents in ascending order of doc_id. A document is read by cutting its
 frame out of the payload; a reader refuses blocks whose dictionary hash isn't the dictionary's.
 
@@ -35,7 +36,7 @@ MAX_WORDS, LONG = 120_000, 64
 #: the pieces of lowest hash, so many at most; its size in bytes at most.
 SAMPLE_DOCUMENTS, PIECE_BYTES, SAMPLE_PIECES, DICTIONARY_BYTES = 1500, 1 << 16, 2048, 112_640
 BLOCK_BYTES, BLOCK_DOCUMENTS = 2 << 20, 4096
-BLOCKS = "range int, block int, dictionary_sha256 string, payload binary, index array<struct<doc_id:bigint,offset:int,length:int,n_tokens:int>>"
+BLOCKS = "range int, block int, first_doc long, last_doc long, dictionary_sha256 string, payload binary, index array<struct<doc_id:bigint,offset:int,length:int,n_tokens:int>>"
 
 
 class WordEncoder:
@@ -147,11 +148,12 @@ def write_store(docs: DataFrame, folder: str, path: str, end_id: int) -> None:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of range and doc_id; a block ends with its range, or when it is full."""
-        schema = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("dictionary_sha256", pa.string()), ("payload", pa.binary()), ("index", pa.list_(pa.struct([("doc_id", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("n_tokens", pa.int32())])))])
+        schema = pa.schema([("range", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("dictionary_sha256", pa.string()), ("payload", pa.binary()), ("index", pa.list_(pa.struct([("doc_id", pa.int64()), ("offset", pa.int32()), ("length", pa.int32()), ("n_tokens", pa.int32())])))])
         now, number, frames, index, size = None, 0, [], [], 0
 
         def block() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([{"range": now, "block": number, "dictionary_sha256": sha, "payload": b"".join(frames), "index": index}], schema=schema)
+            ids = [x["doc_id"] for x in index if x["doc_id"] is not None]
+            return pa.RecordBatch.from_pylist([{"range": now, "block": number, "first_doc": min(ids, default=None), "last_doc": max(ids, default=None), "dictionary_sha256": sha, "payload": b"".join(frames), "index": index}], schema=schema)
 
         for batch in batches:
             for rng, doc, frame, n in zip(*(c.to_pylist() for c in batch.columns)):
@@ -213,9 +215,21 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
-def fetch(spark: SparkSession, folder: str, doc_id: int) -> list[int]:
-    """The ids of one document: one block is read, one frame decompressed."""
-    _, width, dictionary = _dictionary(spark, folder)
-    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").select("payload", F.explode("index").alias("x")).where(F.col("x.doc_id") == doc_id)
-    row = blocks.select(F.expr("substring(payload, x.offset + 1, x.length)").alias("frame")).first()
-    return np.frombuffer(_zstd(dictionary)[1].decompress(bytes(row.frame)), "<u2" if width == 2 else "<u4").tolist()
+def blocks_of(spark: SparkSession, folder: str, doc_id: int) -> DataFrame:
+    """(range, block) of the blocks that a document can be in: of all others not even the statistics pass the filter, and payloads aren't read."""
+    return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).select("range", "block")
+
+
+def fetch(spark: SparkSession, folder: str, doc_id: int) -> list[int] | None:
+    """The ids of one document, None if there is none: its block is found by its bounds, then that block alone is read and one
+    frame decompressed."""
+    sha, width, dictionary = _dictionary(spark, folder)
+    for at in blocks_of(spark, folder, doc_id).collect():  # one; more where an id was stored often
+        block = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").where((F.col("range") == at.range) & (F.col("block") == at.block))
+        rows = block.select("dictionary_sha256", "payload", F.explode("index").alias("x")).where(F.col("x.doc_id") == doc_id)
+        row = rows.select("dictionary_sha256", F.expr("substring(payload, x.offset + 1, x.length)").alias("frame")).first()
+        if row:
+            if row.dictionary_sha256 != sha:
+                raise ValueError("a block was written with another dictionary")
+            return np.frombuffer(_zstd(dictionary)[1].decompress(bytes(row.frame)), "<u2" if width == 2 else "<u4").tolist()
+    return None

@@ -564,6 +564,13 @@ def test_token_store(spark, docs):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert token_store.fetch(spark, scratch.root, 302)[-1] == 2
+    for r in out[::9]:
+        assert token_store.fetch(spark, scratch.root, r.doc_id) == np.frombuffer(bytes(r.ids), "<u4").tolist()
+    assert token_store.fetch(spark, scratch.root, 123_456) is None
+    # The block is found without its payload, by statistics of its bounds.
+    plan = token_store.blocks_of(spark, scratch.root, 302)
+    scan = plan._jdf.queryExecution().executedPlan().toString()
+    assert "payload" not in scan and "LessThanOrEqual(first_doc,302)" in scan and "GreaterThanOrEqual(last_doc,302)" in scan and plan.count() == 1
     dictionary = spark.read.parquet(f"{scratch.root}/dictionary").first()
     assert hashlib.sha256(bytes(dictionary.data)).hexdigest() == dictionary.sha256
 
