@@ -78,8 +78,9 @@ def rerun_mismatches(before: DataFrame, after: DataFrame, tolerance: float = 1e-
 
 
 def latest_details(runs: DataFrame, stage: str) -> DataFrame:
-    """The details of each job's last succeeded run of a stage."""
-    order = Window.partitionBy("job_id").orderBy(F.desc("started_at"), F.desc("tie"), F.desc("tie2"), F.desc_nulls_last("duration_ms"))
+    """The details of each job's succeeded run of a stage that finished last: a run's time after its start."""
+    finished = F.col("started_at") + F.make_dt_interval(secs=F.col("duration_ms") / F.lit(1000).cast("decimal(10,3)"))
+    order = Window.partitionBy("job_id").orderBy(finished.desc_nulls_last(), F.desc("started_at"), F.desc("tie"), F.desc("tie2"))
     return runs.where((F.col("stage") == stage) & (F.col("status") == "succeeded")).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 

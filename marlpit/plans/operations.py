@@ -67,9 +67,11 @@ def stage_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lecture_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of lecture statuses."""
-    s = spark.createDataFrame([(a, b) for a in LECTURE_STATUSES for b in LECTURE_STATUSES], "before string, after string")
-    return ops.lecture_moves(s)
+    """Documents as changes of lecture status, legal or not, counted."""
+    names = F.array(*map(F.lit, LECTURE_STATUSES))
+    at = lambda x: F.get(names, F.expr(f"cast(pmod({x}, {len(LECTURE_STATUSES)}) AS int)"))
+    s = t.table(spark, sf_dir, "documents").select(at("doc_id").alias("before"), at(f"doc_id div {len(LECTURE_STATUSES)}").alias("after"))
+    return ops.lecture_moves(s).groupBy("before", "after", "legal").agg(F.count("*").alias("n"))
 
 
 def transition_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +163,8 @@ ORACLE_SQL = {
       select job_id, case when not coalesce(won, false) then status when outcome = 'failed' then 'failed' when outcome = 'unavailable' then 'waiting' when cur = 6 then 'succeeded' else 'running' end as status,
       (select stage from st where pos = case when coalesce(won, false) and outcome = 'succeeded' and cur < 6 then cur + 1 else cur end) as current_stage, won from w""",
     "lecture_transitions": """with s as (select unnest(['UPLOADED','QUEUED','EXTRACTING_AUDIO','TRANSCRIBING','CLEANING','CHUNKING','EMBEDDING','INDEXING','GENERATING_INTELLIGENCE','READY','FAILED']) as x, unnest(range(11)) as i)
-      select a.x as before, b.x as after, a.i <> b.i and case when b.i = 10 then a.i < 9 when b.i = 1 then a.i in (0, 10) or a.i between 2 and 8 when a.i = 1 then b.i between 2 and 8 when a.i between 2 and 8 then b.i = a.i + 1 else false end as legal from s a cross join s b""",
+      select a.x as before, b.x as after, a.i <> b.i and case when b.i = 10 then a.i < 9 when b.i = 1 then a.i in (0, 10) or a.i between 2 and 8 when a.i = 1 then b.i between 2 and 8 when a.i between 2 and 8 then b.i = a.i + 1 else false end as legal, count(*) as n
+      from documents join s a on a.i = doc_id % 11 join s b on b.i = doc_id // 11 % 11 group by all""",
     "transition_report": f"""{_R}, b as (select job_id, status as after, lag(status) over (partition by job_id order by started_at, stage, tie, tie2, status, duration_ms nulls first) as before from stage_runs)
       select before, after, (before || '>' || after) in ('queued>running','running>succeeded','running>failed','running>queued','running>waiting','waiting>queued','failed>queued') as legal, count(*) as n from b where before is not null group by all""",
     "orphans": f"""{with_sql("chat_logs", "lectures")}, o as (select 'src' || ((lecture_id + case when question_id % 6 = 0 then 1 else 0 end) % 20) as owner, lecture_id, question_id % 9 > 0 as deep, answerable, case when question_id % 13 > 0 then created_at end as made from chat_logs)

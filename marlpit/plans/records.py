@@ -117,7 +117,7 @@ def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     logs = t.chat_logs(spark, sf_dir)
     sources = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(i.alias("number"), (i <= F.col("k") % 5).alias("cited")))
     out = logs.withColumns({"tokens": d.json_tokens(F.to_json(F.struct("question", "answer"))), "n_cited": F.size(F.filter(sources, lambda s: s["cited"]))})
-    return out.groupBy("outcome").agg(F.count("llm_ms").alias("n_calls"), F.sum("llm_ms").alias("llm_ms"), F.sum("n_cited").alias("n_cited"), F.count("*").alias("n"))
+    return out.groupBy("outcome").agg(F.count("llm_ms").alias("n_calls"), F.sum("llm_ms").alias("llm_ms"), F.sum("tokens").alias("tokens"), F.sum("n_cited").alias("n_cited"), F.count("*").alias("n"))
 
 
 def dropped_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,13 +171,13 @@ def sheet_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dataset document written as one JSON object and read back."""
-    logs = t.chat_logs(spark, sf_dir).where("question_id < 500")
+    """A dataset document for each user, written as JSON lines and read back."""
+    logs = t.chat_logs(spark, sf_dir)
     q = F.struct(F.col("question_id").cast("string").alias("question_id"), "question", "answerable", F.array(F.struct(F.col("search_ms").cast("double").alias("start_seconds"), (F.col("search_ms") + 30).cast("double").alias("end_seconds"))).alias("gold_spans"))
-    whole = logs.agg(F.lit("d1").alias("dataset_id"), F.lit("2").alias("version"), F.lit("dev").alias("split"), F.lit(False).alias("frozen"), F.collect_list(q).alias("questions"))
+    whole = logs.groupBy(F.concat(F.lit("d"), "user_id").alias("dataset_id")).agg(F.lit("2").alias("version"), F.lit("dev").alias("split"), F.lit(False).alias("frozen"), F.collect_list(q).alias("questions"))
     path = files.work_dir(spark, "dataset") + "/dataset"
-    whole.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(path)
-    return files.read_dataset(spark, path).select("dataset_id", "version", "question_id", "answerable", F.get("gold_spans", 0)["start_seconds"].alias("start_seconds"))
+    whole.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return files.read_dataset(spark, path, one_a_line=True).select("dataset_id", "version", "question_id", "answerable", F.get("gold_spans", 0)["start_seconds"].alias("start_seconds"))
 
 
 def conflict_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +263,7 @@ ORACLE_SQL = {
       y as (select *, case status when 'READY' then 'ready' when 'FAILED' then 'failed' else 'processing' end as grouping, case when status = 'READY' then 'success' when status = 'FAILED' then 'error' when job_status = 'waiting' then 'neutral' when job_status = 'queued' and error is not null then 'warning' else 'info' end as tone,
       case when status in ('READY', 'FAILED') then '' when job_status = 'waiting' then 'Waiting' when job_status = 'queued' and error is not null then 'Retrying' else '' end as badge, case when status = 'EMBEDDING' then 6 end as stage from x)
       select status, job_status, "grouping", tone, badge, cast(stage as bigint) as stage, count(*) as n from y group by all""",
-    "covers": f"""{with_sql("lectures")}, h as (select lecture_id, list_reduce(list_prepend(cast(0 as hugeint), list_transform(list_filter(string_split(title, ''), lambda c: c <> ''), lambda c: cast(unicode(c) as hugeint))), lambda a, b: (a * 31 + b) % 4294967296) as h,
+    "covers": f"""{with_sql("lectures")}, h as (select lecture_id, list_reduce(list_prepend(cast(0 as hugeint), list_transform(list_filter(string_split(title, ''), lambda c: c <> ''), lambda c: cast(case when unicode(c) > 65535 then 55296 + ((unicode(c) - 65536) >> 10) else unicode(c) end as hugeint))), lambda a, b: (a * 31 + b) % 4294967296) as h,
       list_filter(string_split(trim(regexp_replace(substr(title, 1, 40), '\\s+', ' ', 'g')), ' '), lambda w: w <> '') as w from lectures)
       select lecture_id, cast(([222, 200, 262, 168, 18, 340, 140, 290])[cast(h % 8 as integer) + 1] as bigint) as hue, upper(case len(w) when 0 then '' when 1 then substr(w[1], 1, 2) else substr(w[1], 1, 1) || substr(w[2], 1, 1) end) as initials from h""",
     "value_checks": """with x as (select *, case when doc_id % 3 > 0 then 'ab' || doc_id || '.mp3' end as name from documents)
@@ -279,9 +279,10 @@ ORACLE_SQL = {
       select o.user_id, count(*) as n, min(path) as first from o join lectures l on l.lecture_id = o.lecture_id and l.user_id = o.user_id group by 1""",
     "query_words": r"""with q as (select item_id, trim(regexp_replace('  ' || substr(text, 1, item_id % 6) || chr(32) || chr(10) || ' ', '\s+', ' ', 'g')) as query from benchmark) select item_id, query, length(query) >= 3 as accepted from q""",
     "midpoint_range": f"{with_sql('segments')} select lecture_id, count(*) as n, min(sequence) as first from segments where (start_seconds + end_seconds) / 2 >= 7 and (lecture_id % 2 = 0 or (start_seconds + end_seconds) / 2 < 22) group by 1",
-    "usage_totals": f"{with_sql('chat_logs')} select outcome, count(llm_ms) as n_calls, cast(sum(llm_ms) as bigint) as llm_ms, cast(sum(least(4, k % 5)) as bigint) as n_cited, count(*) as n from chat_logs group by 1",
+    "usage_totals": f"""{with_sql('chat_logs')} select outcome, count(llm_ms) as n_calls, cast(sum(llm_ms) as bigint) as llm_ms,
+      cast(sum(greatest(1, (13 + length(to_json(question)) + coalesce(10 + length(to_json(answer)), 0)) // 3)) as bigint) as tokens, cast(sum(least(4, k % 5)) as bigint) as n_cited, count(*) as n from chat_logs group by 1""",
     "readiness": "select count(*) as n_workers, count(*) filter (where s_acctbal > 0) as n_busy, case when count(*) > 0 then 'ok' else 'degraded' end as status from supplier",
-    "latest_chunking": f"""{with_sql("stage_runs")}, n as (select *, row_number() over (partition by job_id order by started_at desc, tie desc, tie2 desc, duration_ms desc nulls last) as nth from stage_runs where stage = 'CHUNKING' and status = 'succeeded')
+    "latest_chunking": f"""{with_sql("stage_runs")}, n as (select *, row_number() over (partition by job_id order by started_at + to_milliseconds(duration_ms) desc nulls last, started_at desc, tie desc, tie2 desc) as nth from stage_runs where stage = 'CHUNKING' and status = 'succeeded')
       select job_id, duration_ms, started_at from n where nth = 1""",
     "judgment_report": """with j as (select event_id, (['correct', 'partially_correct', 'incorrect', 'full', 'great'])[event_id % 5 + 1] as label from events),
       p as (select *, case when event_id % 17 = 0 then 'other_run' when event_id % 13 = 0 then 'unknown_question' when event_id % 5 > 2 then 'unknown_label' when event_id % 19 = 0 then 'no_annotator' end as problem from j)
@@ -290,7 +291,7 @@ ORACLE_SQL = {
       list_aggregate(list_transform(range(1, 1 + least(3, k % 4)), lambda i: '[' || (i * 60) || '-' || (i * 60 + 45) || 's] a "b", ' || k), 'string_agg', ' || ') as cp, coalesce(cp, '') as cited_passages from chat_logs""",
     "sheet_labels": """with k as (select cast(props->>'$.k' as integer) as k from events), l as (select 'correctness' as kind, 'correct' as label from k where k % 2 = 0 union all select 'citation_support', 'full' from k where k % 3 = 0)
       select kind, label, 'me' as annotator, count(*) as n from l group by all""",
-    "dataset_questions": f"{with_sql('chat_logs')} select 'd1' as dataset_id, '2' as version, cast(question_id as varchar) as question_id, answerable, cast(search_ms as double) as start_seconds from chat_logs where question_id < 500",
+    "dataset_questions": f"{with_sql('chat_logs')} select 'd' || user_id as dataset_id, '2' as version, cast(question_id as varchar) as question_id, answerable, cast(search_ms as double) as start_seconds from chat_logs",
     "conflict_insert": """with o as (select doc_id, source, n_chars from documents where doc_id % 2 = 0 and doc_id < 100), n as (select doc_id % 300 as doc_id, source, n_chars, row_number() over (partition by doc_id % 300 order by source, n_chars) as nth from documents),
       m as (select n.*, exists (select 1 from o where o.doc_id = n.doc_id) as held from n)
       select doc_id, source, n_chars, 'held' as result from o union all select doc_id, source, n_chars, case when nth = 1 and not held then 'held' else 'conflict' end from m""",

@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import re
-import tarfile
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +42,9 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """The questions of a dataset document, one row each, with its id, version and split."""
-    whole = spark.read.schema(DATASET).json(path, multiLine=True)
+def read_dataset(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """The questions of dataset documents, one row each, with their id, version and split. A file is one document, or has one a line."""
+    whole = spark.read.schema(DATASET).json(path, multiLine=not one_a_line)
     return whole.select("dataset_id", "version", "split", "frozen", F.explode("questions").alias("q")).select("dataset_id", "version", "split", "frozen", "q.*")
 
 
@@ -69,29 +65,3 @@ def list_objects(spark: SparkSession, root: str) -> DataFrame:
     """path below root, size and time of every file; contents aren't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     return found.select(F.regexp_extract("path", ".*" + re.escape(re.sub(r"^\w+:/*", "/", root).rstrip("/")) + "/(.*)", 1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("created_at"))
-
-
-def read_speech_archive(spark: SparkSession, path: str) -> DataFrame:
-    """(id, subset, text, has_audio) of tar archives of transcripts (`id text` lines in *.trans.txt) and .flac files: an id in only one of the two has a NULL.
-
-    An archive is one task's, as it can't be split; its audio is passed over unread."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                texts, audio, subset = {}, set(), {}
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for m in tar:
-                        parts = m.name.split("/")
-                        if m.isfile() and m.name.endswith(".trans.txt"):
-                            for line in tar.extractfile(m).read().decode().splitlines():
-                                key, _, text = line.partition(" ")
-                                texts[key], subset[key] = text, parts[1] if len(parts) > 1 else ""
-                        elif m.isfile() and m.name.endswith(".flac"):
-                            key = parts[-1].removesuffix(".flac")
-                            audio.add(key)
-                            subset.setdefault(key, parts[1] if len(parts) > 1 else "")
-                ids = sorted(texts.keys() | audio)
-                yield pd.DataFrame({"id": ids, "subset": [subset[i] for i in ids], "text": [texts.get(i) for i in ids], "has_audio": [i in audio for i in ids]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "id string, subset string, text string, has_audio boolean")
