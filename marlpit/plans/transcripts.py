@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlpit.operators import chunking, cleaning, grounding
+from marlpit.operators import chunking, cleaning, grounding, reduction
 from marlpit.sources import tables as t
 from marlpit.sources.tables import with_sql
 
@@ -92,6 +92,19 @@ def citation_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.citation_start(refs.withColumn("refs", F.col("refs").cast("array<bigint>")), _turns(spark, sf_dir))
 
 
+def _shorter(groups: DataFrame) -> DataFrame:
+    """Stands for what writes a merged note: the first 40 characters of each, and how many there were."""
+    said = F.transform("notes", lambda n: F.substring(F.get_json_object(n, "$.t"), 1, 40))
+    return groups.select("lecture_id", "group_no", F.to_json(F.struct(F.array_join(said, " ").alias("t"), F.size("notes").alias("n"))).alias("note"))
+
+
+def note_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of a conversation as its notes, merged until they fit 120 tokens."""
+    notes = t.segments(spark, sf_dir).select("lecture_id", F.col("sequence").alias("part"), F.to_json(F.struct(F.coalesce("raw_text", F.lit("")).alias("t"))).alias("note"))
+    out = reduction.reduce_notes(notes, _shorter, 120)
+    return out.select("lecture_id", "part", "levels", "complete", F.sha2("note", 256).alias("note_sha256"))
+
+
 _CLEAN = r"""base as (select *, regexp_replace(regexp_replace(trim(regexp_replace(raw_text, '\s+', ' ', 'g')), '\s+([,.;:!?%)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g') as c0 from {src}),
 sent as (select *, string_split(regexp_replace(c0, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as ss from base),
 ex as (select lecture_id, sequence, unnest(ss) as s, unnest(range(len(ss))) as pos from sent),
@@ -157,4 +170,4 @@ ORACLE_SQL = {
     "citation_start": """with r as (select conv_id * 1000 + turn as item, conv_id as lecture_id, unnest([length(text) % 11, turn + 3]) as chunk from conversations)
       select item, min(c.turn * 5.0::double) as start_seconds from r left join conversations c on c.conv_id = r.lecture_id and c.turn = r.chunk group by item""",
 }
-QUERIES = {f.__name__: f for f in (clean_segments, clean_lines, cleaning_stats, chunk_build, chunk_stats, llm_windows, chapters, grounded_items, carry_over, citation_start)}
+QUERIES = {f.__name__: f for f in (clean_segments, clean_lines, cleaning_stats, chunk_build, chunk_stats, llm_windows, chapters, grounded_items, carry_over, citation_start, note_reduction)}
