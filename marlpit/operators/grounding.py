@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from marlpit.functions.text import cut_text, squeeze
 from marlpit.schema import ITEM_LIMITS, SUMMARY_LEAST, SUMMARY_MOST, TEXT_LIMITS
 
+#: Terms that are looked for in one copy of a text.
+TERMS_EACH = 200
+
 
 def references(raw: Column, n_chunks: Column) -> Column:
     """Integers among raw strings that name a chunk, distinct and sorted."""
@@ -26,7 +29,12 @@ def ground_items(items: DataFrame, lectures: DataFrame) -> DataFrame:
     cited = met.where((F.col("kind") == "keywords") | (F.size("refs") > 0))
     low = F.lower("term").alias("low")
     asked = cut.where(F.col("kind").isin("keywords", "definitions")).select("lecture_id", low).distinct()
-    found = asked.join(lectures.select("lecture_id", F.lower("text").alias("text")), "lecture_id").where(F.contains("text", "low")).select("lecture_id", "low")
+    # A row holds its lecture's text once for TERMS_EACH terms, or so.
+    in_lecture = asked.groupBy("lecture_id").agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("low"), F.ceil(F.col("n") / TERMS_EACH))
+    packed = asked.join(in_lecture, "lecture_id").groupBy("lecture_id", part.alias("part")).agg(F.collect_list("low").alias("lows"))
+    texts = packed.join(lectures.select("lecture_id", F.lower("text").alias("text")), "lecture_id")
+    found = texts.select("lecture_id", F.explode(F.filter("lows", lambda w: F.contains(F.col("text"), w))).alias("low"))
     order = Window.partitionBy("lecture_id", "kind").orderBy("position")
     cap = F.create_map(*[x for k, v in ITEM_LIMITS.items() for x in (F.lit(k), F.lit(v))])
     others = cited.where("kind <> 'keywords'").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap[F.col("kind")]).withColumn("low", low)

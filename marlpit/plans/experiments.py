@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlpit.functions import text as tx
-from marlpit.operators import ablation, access
+from marlpit.operators import ablation, access, constraints
 from marlpit.plans import search
 from marlpit.sources import tables as t
 from marlpit.sources.tables import with_sql
@@ -78,6 +78,35 @@ def ablation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation.run_grid(q, chunks, tokens, answers, ablation.grid(spark.createDataFrame(SWEEPS, SWEEP_COLUMNS)), MOST)
 
 
+def constraint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules and repeated keys of five tables. The supplied columns break some of them; others are made to."""
+    lec = t.lectures(spark, sf_dir).withColumns({
+        "instructor": F.repeat("subject", F.when(F.col("lecture_id") % 50 == 1, 61).otherwise(1)), "source_url": F.when((F.col("source_type") == "url") != (F.col("lecture_id") % 9 == 0), F.concat(F.lit("https://x/"), "lecture_id")),
+        "client_request_id": F.when(F.col("lecture_id") % 4 > 0, F.pmod("lecture_id", F.lit(97))), "source_fingerprint": F.sha2("title", 256), "status": F.when(F.col("lecture_id") % 31 == 5, "LOST").otherwise(F.col("status")),
+    })
+    jobs = t.jobs(spark, sf_dir).withColumns({
+        "current_stage": F.when(F.col("job_id") % 7 > 0, "CHUNKING").otherwise("NOWHERE"), "error_message": F.repeat(F.lit("e"), (F.col("job_id") % 1100).cast("int")), "status_detail": F.lit(None).cast("string"),
+        "lease_owner": F.when(F.col("job_id") % 3 > 0, "w"), "max_attempts": (F.col("job_id") % 4).cast("int"), "lecture_id": F.expr("lecture_id div 3"),
+    })
+    runs = t.stage_runs(spark, sf_dir).withColumn("attempt", F.lit(1))
+    chunks = t.chunks(spark, sf_dir).withColumns({
+        "text": F.repeat(F.lit("w"), (F.col("chunk_id") % 5).cast("int")), "first_segment": F.col("chunk_id") % 4, "last_segment": F.col("chunk_id") % 6, "token_estimate": F.col("chunk_id") % 8,
+        "embedding": F.when(F.col("chunk_id") % 10 > 0, F.col("embedding")), "sequence": F.col("chunk_id") % 200 - 1,
+    })
+    return constraints.report({"lectures": lec, "jobs": jobs, "stage_runs": runs, "chunks": chunks, "questions": t.chat_logs(spark, sf_dir)})
+
+
+def dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset for each user with questions from events: which rules each breaks."""
+    logs = t.chat_logs(spark, sf_dir)
+    key = F.concat(F.lit("d"), "user_id").alias("dataset_id")
+    span = F.struct(F.col("search_ms").cast("double").alias("start_seconds"), (F.col("search_ms") + F.col("question_id") % 20 - 1).cast("double").alias("end_seconds"))
+    questions = logs.select(key, F.expr("cast(question_id - pmod(question_id, 40) div 39 AS string)").alias("question_id"), F.pmod("lecture_id", F.lit(13)).cast("string").alias("lecture_key"), "answerable", F.when(F.col("k") % 3 > 0, F.array(span)).alias("gold_spans"), F.col("answer").alias("reference_answer"))
+    lectures = logs.select(key, F.pmod("lecture_id", F.lit(12)).cast("string").alias("lecture_key")).distinct()
+    datasets = logs.groupBy(key).agg((F.max("question_id") % 3).alias("x")).select("dataset_id", F.get(F.array(F.lit("dev"), F.lit("train"), F.lit("test")), F.col("x").cast("int")).alias("split"), (F.col("x") == 2).alias("frozen"), F.lit(None).cast("timestamp").alias("frozen_at"))
+    return constraints.dataset_problems(datasets, lectures, questions).groupBy("dataset_id", "problem").agg(F.count("*").alias("n"))
+
+
 _SEES = "(values " + ", ".join(f"('{c}')" for c in CALLERS) + ") c(caller)"
 _CONFIGS = ", ".join(f"('{c}', {6 if k is None else k}, {s}::double, {2400 if b is None else b})" for c, k, s, b in SWEEPS)
 _GONE = "select doc_id as lecture_id from documents where doc_id % 7 = 3"
@@ -112,5 +141,31 @@ ORACLE_SQL = {
         from c cross join q left join p on p.config = c.config and p.use_threshold = c.use_threshold and p.use_answerable = c.use_answerable and p.require_citations = c.require_citations and p.query_id = q.query_id)
       select config, use_threshold, use_answerable, require_citations, count(*) as n_questions, coalesce(sum(n), 0) as n_passages, count(*) filter (where decision = 'answered') as n_answered, count(*) filter (where decision = 'below_threshold') as n_below_threshold,
       count(*) filter (where decision = 'model_declined') as n_model_declined, count(*) filter (where decision = 'no_valid_citations') as n_no_valid_citations from e group by all""",
+    "constraint_report": f"""{with_sql("lectures", "jobs", "stage_runs", "chunks", "chat_logs")},
+      l as (select *, case when lecture_id % 50 = 1 then 61 else 1 end * length(subject) as instructor_length, (source_type = 'url') <> (lecture_id % 9 = 0) as has_url, case when lecture_id % 4 > 0 then lecture_id % 97 end as request from lectures),
+      c as (select chunk_id, lecture_id, chunk_id % 200 - 1 as sequence from chunks),
+      x(table_name, rule, n) as (
+        select 'lectures', unnest(['user_id_present', 'title_present', 'title_length', 'subject_length', 'topic_length', 'instructor_length', 'source_type', 'source_url_length', 'source_url_matches_type', 'status', 'duration']),
+          unnest([count(*) filter (where user_id is null), count(*) filter (where title is null), count(*) filter (where length(trim(title)) not between 1 and 300), count(*) filter (where length(subject) > 120), count(*) filter (where length(topic) > 200),
+            count(*) filter (where instructor_length > 120), count(*) filter (where source_type not in ('video', 'audio', 'url')), 0, count(*) filter (where (source_type = 'url') <> has_url), count(*) filter (where lecture_id % 31 = 5), count(*) filter (where duration_seconds < 0)]) from l
+        union all select 'lectures', 'unique user_id, client_request_id', count(*) - count(distinct (user_id, request)) from l where user_id is not null and request is not null
+        union all select 'lectures', 'unique user_id, source_fingerprint', count(*) - count(distinct (user_id, title)) from l where user_id is not null and title is not null
+        union all select 'jobs', unnest(['status', 'current_stage', 'attempt_count', 'max_attempts', 'error_message_length', 'status_detail_length', 'running_has_lease']),
+          unnest([0, count(*) filter (where job_id % 7 = 0), count(*) filter (where attempt_count < 0), count(*) filter (where job_id % 4 = 0), count(*) filter (where job_id % 1100 > 1000), 0, count(*) filter (where status = 'running' and (job_id % 3 = 0 or lease_expires_at is null))]) from jobs
+        union all select 'jobs', 'unique lecture_id', count(*) - count(distinct job_id // 3) from jobs
+        union all select 'stage_runs', unnest(['status', 'stage', 'attempt', 'duration']), unnest([0, count(*) filter (where stage is null), 0, count(*) filter (where duration_ms < 0)]) from stage_runs
+        union all select 'stage_runs', 'unique job_id, stage, attempt', count(*) - count(distinct (job_id, stage)) from stage_runs where stage is not null
+        union all select 'chunks', unnest(['sequence', 'text_length', 'start', 'time_order', 'segment_order', 'token_estimate', 'embedding_has_model']),
+          unnest([count(*) filter (where chunk_id % 200 = 0), count(*) filter (where chunk_id % 5 = 0), count(*) filter (where start_seconds < 0), 0, count(*) filter (where chunk_id % 6 < chunk_id % 4), count(*) filter (where chunk_id % 8 = 0), count(*) filter (where chunk_id % 10 = 0)]) from chunks
+        union all select 'chunks', 'unique lecture_id, sequence', count(*) - count(distinct (lecture_id, sequence)) from c
+        union all select 'questions', unnest(['question_length', 'outcome', 'answer_length', 'search_ms', 'llm_ms', 'latency_present', 'latency_ms']),
+          unnest([count(*) filter (where length(question) not between 1 and 1000), 0, count(*) filter (where length(answer) > 8000), count(*) filter (where search_ms < 0), count(*) filter (where llm_ms < 0), count(*) filter (where latency_ms is null), count(*) filter (where latency_ms < 0)]) from chat_logs)
+      select * from x""",
+    "dataset_problems": f"""{with_sql("chat_logs")}, q as (select 'd' || user_id as dataset_id, question_id - question_id % 40 // 39 as qid, lecture_id, answerable, k % 3 > 0 as gold, question_id % 20 - 1 as len, search_ms, coalesce(trim(answer), '') = '' as blank from chat_logs),
+      l as (select distinct dataset_id, lecture_id % 12 as lecture_key from q), d as (select 'd' || user_id as dataset_id, max(question_id) % 3 as x from chat_logs group by 1),
+      p as (select dataset_id, 'answerable_without_gold' as problem from q where answerable and (not gold or blank) union all select dataset_id, 'unanswerable_with_gold' from q where not answerable and gold
+        union all select dataset_id, 'span_order' from q where gold and (len <= 0 or search_ms < 0) union all select q.dataset_id, 'unknown_lecture' from q where not exists (select 1 from l where l.dataset_id = q.dataset_id and l.lecture_key = q.lecture_id % 13)
+        union all select dataset_id, 'repeated_question' from q group by dataset_id, qid having count(*) > 1 union all select dataset_id, 'split' from d where x = 1 union all select dataset_id, 'frozen_without_time' from d where x = 2)
+      select dataset_id, problem, count(*) as n from p group by all""",
 }
-QUERIES = {f.__name__: f for f in (secured_tables, cascade_delete, failed_lectures, manual_retry, override_check, ablation_grid)}
+QUERIES = {f.__name__: f for f in (secured_tables, cascade_delete, failed_lectures, manual_retry, override_check, ablation_grid, constraint_report, dataset_problems)}
