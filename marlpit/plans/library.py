@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marlpit.functions import text as tx
 from marlpit.operators import jobs as job_ops
-from marlpit.operators import library
+from marlpit.operators import documents, library
+from marlpit.schema import STAGES
 from marlpit.sources import tables as t
 from marlpit.sources.tables import with_sql
 
@@ -77,6 +78,36 @@ def lecture_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lec.fillna(0, ["n_segments", "n_chunks", "n_questions"])
 
 
+def _texts(rows: str, *fields: str):
+    """An array of structs as one text."""
+    return F.array_join(F.transform(rows, lambda r: F.concat_ws(":", *[F.coalesce(r[f].cast("string"), F.lit("-")) for f in fields])), ";")
+
+
+def processing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lecture's processing page, its lists as texts. Media are made of the lectures: an original, and audio once it is READY."""
+    lec = t.lectures(spark, sf_dir)
+    kinds = F.explode(F.when(F.col("status") == "READY", F.array(F.lit("original"), F.lit("audio"))).otherwise(F.array(F.lit("original"))))
+    media = lec.select("lecture_id", kinds.alias("kind"), "source_type", "duration_seconds").select("lecture_id", "kind", F.concat_ws("/", "source_type", "kind").alias("mime_type"), (F.col("duration_seconds") * 48).alias("file_size"))
+    runs = t.stage_runs(spark, sf_dir).withColumn("started_at", F.date_format("started_at", "yyyy-MM-dd"))
+    out = documents.processing_pages(lec, t.jobs(spark, sf_dir), runs, media, STAGES[:6])
+    return out.select(
+        "lecture_id", F.col("lecture.status").alias("status"), F.col("job.status").alias("job_status"), _texts("stage_runs", "started_at", "stage", "status", "duration_ms").alias("runs"),
+        _texts("media", "kind", "mime_type", "file_size").alias("media"), F.size("implemented_stages").alias("n_stages"),
+    )
+
+
+def workspace_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lecture's workspace, its lists as texts: segments are turns, a third of them emptied; chapters begin at every fourth turn."""
+    seg = t.segments(spark, sf_dir).withColumn("text", F.when(F.col("sequence") % 3 < 2, F.col("raw_text")).otherwise(" \n "))
+    transcripts = seg.groupBy("lecture_id").agg(F.lit("en").alias("language"))
+    chapters = seg.where("sequence % 4 = 0").withColumn("title", F.concat(F.lit("from "), "sequence"))
+    out = documents.workspace_pages(t.lectures(spark, sf_dir), transcripts, seg, chapters, t.chunks(spark, sf_dir))
+    return out.select(
+        "lecture_id", F.col("lecture.title").alias("title"), F.col("transcript.language").alias("language"), F.sha2(_texts("transcript.segments", "sequence", "start", "end", "text"), 256).alias("segments_sha256"),
+        _texts("chapters", "sequence", "title", "end").alias("chapters"), F.size("chunks").cast("long").alias("n_chunks"), F.get("chunks", 0)["start"].alias("first_chunk_start"),
+    )
+
+
 def clock_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     lec = t.lectures(spark, sf_dir).where("duration_seconds is not null")
     return lec.select("lecture_id", tx.clock(F.col("duration_seconds")).alias("clock"), tx.clock(F.col("duration_seconds"), pad=False).alias("short_clock"))
@@ -163,6 +194,13 @@ ORACLE_SQL = {
       select 'title_length' as rule from lectures where not coalesce(length(title) between 1 and 300, false) union all select 'subject' from lectures where not coalesce(length(trim(subject)) between 1 and 120, false)
       union all select 'duration' from lectures where not (duration_seconds is null or duration_seconds <= 14400) union all select 'status' from lectures where status not in ('READY','FAILED','EMBEDDING')) group by rule""",
     "uniqueness_report": "select l_orderkey, l_linenumber, count(*) as n from lineitem group by all having count(*) > 1",
+    "processing_pages": f"""{with_sql("lectures", "jobs", "stage_runs")}, r as (select job_id, string_agg(concat_ws(':', strftime(started_at, '%Y-%m-%d'), stage, status, coalesce(cast(duration_ms as varchar), '-')), ';' order by strftime(started_at, '%Y-%m-%d'), stage, status nulls first, duration_ms nulls first) as runs from stage_runs group by job_id)
+      select l.lecture_id, l.status, j.status as job_status, coalesce(runs, '') as runs, case when l.status = 'READY' then 'audio:' || source_type || '/audio:' || coalesce(cast(duration_seconds * 48 as varchar), '-') || ';' else '' end
+        || 'original:' || source_type || '/original:' || coalesce(cast(duration_seconds * 48 as varchar), '-') as media, 6 as n_stages from lectures l left join jobs j on j.lecture_id = l.lecture_id left join r on r.job_id = j.job_id""",
+    "workspace_pages": f"""{with_sql("lectures", "segments", "chunks")}, s as (select lecture_id, string_agg(sequence || ':' || start_seconds || ':' || end_seconds || ':' || raw_text, ';' order by sequence, start_seconds, end_seconds, raw_text) as txt from segments where sequence % 3 < 2 and trim(regexp_replace(coalesce(raw_text, ''), '\\s+', ' ', 'g')) <> '' group by 1),
+      c as (select lecture_id, string_agg(sequence || ':from ' || sequence || ':' || end_seconds, ';' order by sequence) as chapters from segments where sequence % 4 = 0 group by 1), k as (select lecture_id, count(*) as n, min_by(start_seconds, sequence) as first from chunks group by 1), h as (select distinct lecture_id from segments)
+      select l.lecture_id, title, case when h.lecture_id is not null then 'en' end as language, case when h.lecture_id is not null then sha256(coalesce(txt, '')) end as segments_sha256, coalesce(chapters, '') as chapters, coalesce(n, 0) as n_chunks, first as first_chunk_start
+      from lectures l left join h using (lecture_id) left join s using (lecture_id) left join c using (lecture_id) left join k using (lecture_id)""",
     "upsert_jobs": f"{with_sql('jobs')} select job_id, case when status = 'succeeded' then 'failed' else status end as status, attempt_count + case when status = 'succeeded' then 1 else 0 end as attempt_count from jobs",
 }
 QUERIES = {
@@ -174,6 +212,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         library_second_page, library_search, library_status_counts, subjects_distinct, lecture_with_job, history_search, dashboard_overview, visible_children, processing_details,
-        lecture_assembly, clock_format, tags_clean, search_terms, url_parse, metadata_violations, uniqueness_report, upsert_jobs,
+        lecture_assembly, processing_pages, workspace_pages, clock_format, tags_clean, search_terms, url_parse, metadata_violations, uniqueness_report, upsert_jobs,
     )
 }
