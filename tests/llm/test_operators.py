@@ -76,6 +76,26 @@ def test_odd_rows_and_empty_tables(odd, name):
     assert OPERATORS[name](odd.where("doc_id > 1000")).count() == 0
 
 
+def test_values_of_odd_rows(odd):
+    """What the docstrings promise of rows without text, id or source, of repeated rows and of a very long text."""
+    words = {None: 0, "": 0, "a b c d e f": 6, "lang " * 3000: 3000}
+    sizes = sorted(words[r[1]] for r in ODD)
+    mixed = mixing.mix(odd).collect()
+    assert sorted((r["size"], r.source_size) for r in mixed) == sorted((words[r[1]], {None: 12, "s": 12, "": 3000}[r[2]]) for r in ODD)
+    assert all(r.taken == r.copies * r["size"] and r.copies <= 2 and (r["size"] > 0 or r.taken == 0) for r in mixed)
+    lines = line_dedup.dedup_lines(odd).collect()
+    assert sorted((r.text, r.n_lines, r.n_dropped) for r in lines) == sorted((r[1] or "", 1, 0) for r in ODD)
+    rules = quality.quality_rules(odd).collect()
+    assert sorted(r.n_words for r in rules) == sizes and all(r.base_failed and not r.kept for r in rules)
+    shards = sharding.balanced_shards(odd, 4).collect()
+    assert sorted((r["size"], r.text_crc32) for r in shards) == sorted((len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ODD)
+    assert {(r.shard, r.slot) for r in shards} == {(s, k) for s in range(4) for k in range(sum(r.shard == s for r in shards))}
+    back = bpe.decode(bpe.encode(odd, RANKS, PATTERN), RANKS, PATTERN).collect()
+    assert sorted(bytes(r.decoded) for r in back) == sorted((r[1] or "").encode() for r in ODD) and sum(r.n_tokens == 0 for r in back) == sizes.count(0)
+    scored = toxicity.score(odd, toxicity.fit(odd, odd.select("doc_id", F.lit(1).alias("toxic")))).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
+
+
 def test_odd_tables_in_the_token_store(spark, odd):
     for d, n in ((odd, len(ODD)), (odd.where("doc_id > 1000"), 0)):
         scratch = Scratch(spark, "t")
