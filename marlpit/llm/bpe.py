@@ -2,8 +2,10 @@
 
 The tokenizers library merges; the ranks give its merges, and its byte table spells bytes as characters. A text is cut
 before every space that follows a character other than white space: no match of the pattern crosses such a place, so the
-pieces can be encoded one by one, and a worker keeps the ids of short pieces it has met, up to a fixed number. Decoding
-looks the ids up in the byte table and joins the bytes, so that characters split over tokens come back whole.
+pieces can be encoded one by one, and a worker keeps the ids of short pieces it has met, up to a fixed number. That holds
+for patterns whose matches take at most one space, as their first character; others need a cut of their own. Decoding
+spells the ids in the tokenizer's characters and turns the byte table around over the whole text, so that characters split
+over tokens come back whole.
 
 Defined results for odd input: a null or empty text has no tokens; repeated rows are encoded each on its own; other
 columns pass through, except those named like the results; an empty table gives no rows; a very long text is encoded
@@ -72,10 +74,12 @@ class Codec:
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)]
         )
-        self.bytes_of = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
-        self.n_bytes = np.array([len(t) for t in self.bytes_of], dtype=np.int64)
+        self.spelled = [""] * (max(ranks.values()) + 1)
+        for token, rank in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.spelled[rank] = token
+        self.n_bytes = np.array([len(t) for t in self.spelled], dtype=np.int64)
+        #: From the character that spells a byte to the Latin-1 character of that byte.
+        self.unspelled = {ord(c): b for b, c in enumerate(spell)}
         self.pieces: dict[str, bytes] = {}
         self.odd = re.compile(r"\s ")
         self.cut = re.compile(r"(?<=\S)(?= )")
@@ -129,7 +133,8 @@ class Codec:
         return place[starts].astype("<i4").tobytes(), int((~lead[starts]).sum())
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """A character for each byte, whichever token it is of, and then the bytes."""
+        return "".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist())).translate(self.unspelled).encode("latin-1")
 
 
 @lru_cache(2)
