@@ -31,7 +31,9 @@ from marlpit.llm.sharding import order_ranges, range_offsets
 
 SLICE = 256
 #: A worker keeps the ids of at most twice so many words, none longer than LONG bytes.
-MAX_WORDS, LONG = 120_000, 64
+MAX_WORDS, LONG = 300_000, 64
+#: Unknown words go to the tokenizer as texts of so many: longer ones take it more time a word.
+WORDS_A_TEXT = 500
 #: The dictionary is trained on the documents of lowest hash, so many at most, cut into pieces of so many bytes, and of these on
 #: the pieces of lowest hash, so many at most; its size in bytes at most.
 SAMPLE_DOCUMENTS, PIECE_BYTES, SAMPLE_PIECES, DICTIONARY_BYTES = 1500, 1 << 16, 2048, 112_640
@@ -72,14 +74,14 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Many words in one text, told apart by the offsets of their tokens."""
-        for at in range(0, len(new), 20_000):
-            words = [w.decode() for w in new[at : at + 20_000]]
+        for at in range(0, len(new), WORDS_A_TEXT):
+            words = [w.decode() for w in new[at : at + WORDS_A_TEXT]]
             e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
             ends = np.cumsum([len(w) + 1 for w in words])
             starts = np.array([s for s, _ in e.offsets], dtype=np.int64)
             ids = np.array(e.ids, dtype=self.kind).tobytes()
             before = 0
-            for word, upto in zip(new[at : at + 20_000], (self.kind.itemsize * np.searchsorted(starts, ends, side="left")).tolist()):
+            for word, upto in zip(new[at : at + WORDS_A_TEXT], (self.kind.itemsize * np.searchsorted(starts, ends, side="left")).tolist()):
                 self.words[word] = ids[before:upto]
                 before = upto
 
