@@ -34,7 +34,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlpit.llm.common import shuffle_width, text_or_empty
-from marlpit.llm.sharding import order_ranges
 
 GEAR = np.random.default_rng(13).integers(0, 1 << 16, 256, dtype=np.uint16)
 WINDOW = 16
@@ -126,10 +125,15 @@ def neighbour_ranges(docs: DataFrame, n_ranges: int) -> DataFrame:
     found = docs.agg(F.percentile_approx("doc_id", steps, 10 * n_ranges).alias("bounds"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
     bounds = found.bounds or []  # n_ranges numbers at most
     hot = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
+    marks = F.array(*map(F.lit, sorted(set(bounds)))).cast("array<bigint>")
+    # How many bounds lie below the id, by halving. One expression over a list of steps: as a chain of columns it would be
+    # put into itself again and again by the optimizer.
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))]).cast("array<int>")
+    below = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(marks, low + step - 1) < F.col("doc_id"), F.lit(False)), low + step).otherwise(low))
     slot = F.shiftright((F.shiftright("hash", 32) + F.lit(1 << 31)) * F.lit(HOT_SLOTS), 32)
     place = -2 * HOT_SLOTS * F.col("range")
     is_hot = F.col("doc_id").isNull() | F.array_contains(F.array(*map(F.lit, hot)), F.col("doc_id")) if hot else F.col("doc_id").isNull()
-    placed = order_ranges(docs, "doc_id", n_ranges).withColumn("hot", is_hot)
+    placed = docs.select("*", below.alias("range"), is_hot.alias("hot"))
     placed = placed.withColumn("range", F.when(F.col("doc_id").isNull(), 2 * HOT_SLOTS + slot).when(F.col("hot"), place + slot).otherwise(place + HOT_SLOTS))
     # A range's first rows have its largest id and, where that id is hot, the least hash; texts are read for it only then.
     least = F.min("hash") if hot or found.nulls else F.lit(None).cast("long")
