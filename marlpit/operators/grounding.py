@@ -58,16 +58,19 @@ def dropped_counts(items: DataFrame, kept: DataFrame) -> DataFrame:
     return items.join(here, ["lecture_id", "kind", "position"], "left").groupBy("lecture_id", "kind").agg(F.count_if(F.col("stays").isNull()).alias("n_dropped"), F.count("stays").alias("n_kept"))
 
 
-def chapters(proposed: DataFrame, chunks: DataFrame) -> DataFrame:
+def chapters(proposed: DataFrame, chunks: DataFrame, clean_titles: bool = True) -> DataFrame:
     """proposed (lecture_id, start_chunk, title), chunks (lecture_id, chunk, start_seconds, end_seconds): at most 15 chapters.
 
     Proposals without a title, or whose start is no chunk, go first. Of those with one start the least title wins; the first
-    kept chapter begins with the first chunk; each ends with the chunk before the next one's start, the last with the last."""
+    kept chapter begins with the first chunk; each ends with the chunk before the next one's start, the last with the last.
+
+    Titles are squeezed and cut. With clean_titles off they stay as proposed, and a start goes if its least title is blank."""
     by_chunk = Window.partitionBy("lecture_id").orderBy("chunk")
     placed = chunks.select("lecture_id", "chunk", F.lag("chunk").over(by_chunk).alias("previous"))
     bounds = chunks.groupBy("lecture_id").agg(F.min("chunk").alias("first"), F.max("chunk").alias("final"))
-    titled = proposed.withColumn("title", cut_text(F.col("title"), TEXT_LIMITS["chapters"])).where("title <> ''")
-    one = titled.groupBy("lecture_id", "start_chunk").agg(F.min("title").alias("title")).join(placed.withColumnRenamed("chunk", "start_chunk"), ["lecture_id", "start_chunk"])
+    titled = proposed.withColumn("title", cut_text(F.col("title"), TEXT_LIMITS["chapters"])).where("title <> ''") if clean_titles else proposed
+    one = titled.groupBy("lecture_id", "start_chunk").agg(F.min("title").alias("title")).where(F.col("title").rlike(r"[^\p{Zs}]"))
+    one = one.join(placed.withColumnRenamed("chunk", "start_chunk"), ["lecture_id", "start_chunk"])
     order = Window.partitionBy("lecture_id").orderBy("start_chunk")
     kept = one.withColumn("chapter", (F.row_number().over(order) - 1).cast("long")).where(F.col("chapter") < ITEM_LIMITS["chapters"])
     kept = kept.withColumn("before_next", F.lead("previous").over(order)).join(bounds, "lecture_id")
