@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlpit.functions.text import cut_text
 from marlpit.functions.vector import cosine, norm
 from marlpit.schema import ANSWER_MOST, INSUFFICIENT, LIBRARY_CANDIDATES, MIN_SIMILARITY, SEARCH_LIMIT, SEARCH_PER_LECTURE
 
-#: A block of queries of at most this many rows is sent to all tasks.
-QUERY_BLOCK = 4096
+#: Chunks and queries of a pair of blocks that are multiplied, and queries of these taken at once.
+CHUNK_BLOCK, QUERY_BLOCK, AT_ONCE = 8192, 4096, 256
+#: What the sum of a product may differ by from the exact similarity, and lengths between which that holds.
+SLACK, SHORT, LONG = 1e-9, 1e-100, 1e100
 #: No query gets more chunks than this from one lecture, or from the library.
 LECTURE_MOST, LIBRARY_MOST = 50, 100
 
@@ -27,25 +33,84 @@ def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: b
     that its kind of search gives: LECTURE_MOST chunks of one lecture, LIBRARY_MOST of all.
 
     own_lecture: only chunks of the query's lecture, query_lecture, met by an equi-join on it, whatever the number of queries.
-    Otherwise queries (query_id, query_model, query) is a block: of up to QUERY_BLOCK rows it goes to all tasks, which rank
-    their own chunks and send on `top` for each query; a larger one is dealt in rounds of blocks, united."""
+    Otherwise chunks and queries (query_id, query_model, query) are dealt to blocks, and every block of queries meets every
+    block of chunks in a task that multiplies them and sends on `top` for each query: no pair is a row, no side is broadcast."""
     top = min(max(top, 1), LECTURE_MOST if own_lecture else LIBRARY_MOST)
-    n = 0 if own_lecture else queries.count()
-    if n > QUERY_BLOCK:
-        blocks = -(-n // QUERY_BLOCK)
-        dealt = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        parts = [similarities(dealt.where(F.col("__block") == b).drop("__block"), chunks, top) for b in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
     q = queries.withColumn("query_norm", norm(F.col("query")))
     c = chunks.where("embedding is not null").withColumn("chunk_norm", norm(F.col("embedding")))
-    fits = (F.col("embedding_model") == F.col("query_model")) & (F.size("embedding") == F.size("query"))
-    near = c.join(q, fits & (F.col("lecture_id") == F.col("query_lecture"))) if own_lecture else c.join(F.broadcast(q), fits)
-    near = near.withColumn("similarity", cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm"))).where("similarity is not null and not isnan(similarity)")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "sequence", "chunk_id")
-    return near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model").withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+    if own_lecture:
+        fits = (F.col("embedding_model") == F.col("query_model")) & (F.size("embedding") == F.size("query"))
+        near = c.join(q, fits & (F.col("lecture_id") == F.col("query_lecture")))
+        near = near.withColumn("similarity", cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm"))).where("similarity is not null and not isnan(similarity)")
+        near = near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model")
+    else:
+        near = _nearest_of_blocks(c, q, top)
+    return near.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+
+
+def _nearest_of_blocks(c: DataFrame, q: DataFrame, top: int) -> DataFrame:
+    """For each query and block of chunks the `top` most similar: the columns of both sides but for vectors, and similarity."""
+    c, q = (side.where((F.col(n) > 0) & ~F.isnan(n)) for side, n in ((c.where("embedding_model is not null"), "chunk_norm"), (q.where("query_model is not null"), "query_norm")))
+    blocks, parts = (max(1, -(-side.count() // size)) for side, size in ((c, CHUNK_BLOCK), (q, QUERY_BLOCK)))
+    shown_c, shown_q = [n for n in c.columns if n not in ("embedding", "chunk_norm")], [n for n in q.columns if n not in ("query", "query_norm", "query_model")]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
+    left = c.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("__block", dealt("chunk_id", blocks)).withColumn("__part", every(parts))
+    right = q.withColumn("query", F.col("query").cast("array<double>")).withColumn("__part", dealt("query_id", parts)).withColumn("__block", every(blocks))
+    schema = T.StructType([*c.select(*shown_c).schema.fields, *q.select(*shown_q).schema.fields, T.StructField("similarity", T.DoubleType())])
+
+    def kinds(models: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+        """Of each model and length the places and the vectors."""
+        at: dict[tuple, list[int]] = {}
+        for i, kind in enumerate(zip(models.to_pylist(), pc.list_value_length(vectors).to_pylist())):
+            at.setdefault(kind, []).append(i)
+        return {k: (np.array(i), vectors.take(pa.array(i)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(i), k[1])) for k, i in at.items()}
+
+    def run(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[pa.Table] = []
+        asked = kinds(queries["query_model"], queries["query"])
+        for kind, (of_c, x) in kinds(chunks["embedding_model"], chunks["embedding"]).items():
+            if kind not in asked:
+                continue
+            of_q, y = asked[kind]
+            norm_x, norm_y = chunks["chunk_norm"].to_numpy()[of_c], queries["query_norm"].to_numpy()[of_q]
+            odd_x, odd_y = (~((v > SHORT) & (v < LONG)) for v in (norm_x, norm_y))
+            by_place = np.ascontiguousarray(x.T)
+            for lo in range(0, len(y), AT_ONCE):
+                some, length = y[lo : lo + AT_ONCE], norm_y[lo : lo + AT_ONCE]
+                with np.errstate(all="ignore"):
+                    near = some @ by_place / (length[:, None] * norm_x)
+                    odd = ~np.isfinite(near) | odd_x | odd_y[lo : lo + AT_ONCE, None]
+                    near[odd] = -np.inf
+                    if len(x) > top:
+                        # What may be among the first, or isn't computed well by a product, is computed exactly.
+                        least = np.partition(near, len(x) - top, axis=1)[:, len(x) - top, None]
+                        of, at = np.nonzero((near >= least - SLACK) | odd)
+                    else:
+                        of, at = (a.ravel() for a in np.indices(near.shape))
+                    sums = np.zeros(len(of))
+                    for place, own in zip(by_place, np.ascontiguousarray(some.T)):
+                        sums += place[at] * own[of]
+                    similarity = sums / (norm_x[at] * length[of])
+                    good = (norm_x[at] * length[of] != 0) & ~np.isnan(similarity)
+                of, at, similarity = of[good], at[good], similarity[good]
+                rows = chunks.select(shown_c).take(pa.array(of_c[at]))
+                order = pc.sort_indices(
+                    pa.table({"of": of, "similarity": similarity, "sequence": rows["sequence"], "chunk_id": rows["chunk_id"]}),
+                    sort_keys=[("of", "ascending"), ("similarity", "descending"), ("sequence", "ascending"), ("chunk_id", "ascending")], null_placement="at_start",
+                ).to_numpy()
+                of = of[order]
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                nth = np.arange(len(of)) - np.repeat(first, np.diff(first, append=len(of)))
+                order, of = order[nth < top], of[nth < top]
+                mine = queries.select(shown_q).take(pa.array(of_q[lo + of]))
+                found.append(pa.table([*rows.take(pa.array(order)).columns, *mine.columns, pa.array(similarity[order])], names=schema.names))
+        if found:
+            return pa.concat_tables(found)
+        return pa.table([*chunks.select(shown_c).slice(0, 0).columns, *queries.select(shown_q).slice(0, 0).columns, pa.array([], pa.float64())], names=schema.names)
+
+    return left.groupBy("__block", "__part").cogroup(right.groupBy("__block", "__part")).applyInArrow(run, schema)
 
 
 def search_content(queries: DataFrame, chunks: DataFrame, lectures: DataFrame, candidates: int = LIBRARY_CANDIDATES, threshold: float = MIN_SIMILARITY, per_lecture: int = SEARCH_PER_LECTURE, limit: int = SEARCH_LIMIT) -> DataFrame:
