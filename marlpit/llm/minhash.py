@@ -16,10 +16,14 @@
    a round makes at most LEADERS pairs a member, whatever the size of a group, and rounds are few. A round goes on with
    those keys that hold several components; the last leaves none. Pairs are verified on
    all shingles of both texts.
-5. Links at THRESHOLD or more make components; the smallest doc_id stays.
+5. Rounds join most of a large group, but not surely all of it. So in the end every first key that had too many members for
+   its leaders to meet them all is gone through whole: its members outside its largest component are compared with all
+   members of other components, in blocks, by products of their shingles. After that any two texts under a first key have been compared or are in one component.
+6. Links at THRESHOLD or more make components; the smallest doc_id stays.
 
-Dealing anew can part two similar texts under one key; they meet under their other keys and through their component. The
-README gives the measured share of all links (by brute force) whose ends come together.
+The last step has as many pairs as a key's members outside its largest component times its members: its work grows with the
+square of a key only where that key joins many texts that are not similar. What the first keys don't bring together isn't
+found; the README gives the measured share of all links (by brute force) whose ends come together.
 
 Defined results for odd input: texts without words (null, empty, white space) are alike only to equal texts, null equalling
 empty; texts of fewer than five words are one shingle; a very long text is a block of its own; rows without doc_id are left
@@ -51,6 +55,8 @@ BANDS, ROWS = 16, 5
 HASHES = BANDS * ROWS
 SLICE = 256
 LEADERS, FEW = 4, 4
+#: Members of a crowded key that meet as many others in one task, and shingles of these taken at once.
+GROUP, FEATURES = 256, 8192
 #: A text as a weighted set.
 SET = ("shingles", "tf", "df")
 #: Bytes of text for a block of documents and for a range of hashes; small tables have smaller ranges, but no more than FEW_RANGES.
@@ -379,8 +385,7 @@ def similarities(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     lead, width = pairs.columns.index("b"), len(pairs.columns)
 
     def opened(one: dict) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.cumsum(unpack(one["shingles"], np.uint64), dtype=np.uint64)
-        return keys, tf_idf(unpack(one["tf"], np.uint32), unpack(one["df"], np.uint32), n)
+        return _opened_set(*(one[c] for c in SET), n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, vector = None, None
@@ -414,8 +419,96 @@ def _joined(links: DataFrame) -> DataFrame:
     return jump.join(near, "u").select(F.col("u").alias("id"), F.least("label", "least").alias("label"))
 
 
+def _opened_set(shingles: bytes, tf: bytes, df: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.cumsum(unpack(shingles, np.uint64), dtype=np.uint64)
+    return keys, tf_idf(unpack(tf, np.uint32), unpack(df, np.uint32), n)
+
+
+def _levels(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts' shingles (text, feature, weight), each as often as a text has it: its k-th time is a feature of its own,
+    so that the smaller of two weights is what both texts have in common."""
+    texts, features, weights = [], [], []
+    for i, one in enumerate(table.select(list(SET)).to_pylist()):
+        keys, tf = np.cumsum(unpack(one["shingles"], np.uint64), dtype=np.uint64), unpack(one["tf"], np.uint32).astype(np.int64)
+        level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        features.append(np.repeat(keys, tf) ^ (level.astype(np.uint64) * _MIX))
+        weights.append(np.repeat(tf_idf(np.ones(len(tf)), unpack(one["df"], np.uint32), n), tf))
+        texts.append(np.full(len(level), i))
+    return np.concatenate(texts), np.concatenate(features), np.concatenate(weights)
+
+
+def block_similarities(left: pa.Table, right: pa.Table, n: int) -> np.ndarray:
+    """Weighted Jaccard similarities of all texts on the left with all on the right, to about 1e-9, by products of slices."""
+    sides = [_levels(t, n) for t in (left, right)]
+    shared = np.intersect1d(sides[0][1], sides[1][1])
+    met = np.zeros((left.num_rows, right.num_rows))
+    kept = []
+    for text, feature, weight in sides:
+        at = np.minimum(np.searchsorted(shared, feature), max(len(shared) - 1, 0))
+        here = np.flatnonzero(shared[at] == feature) if len(shared) else np.zeros(0, dtype=np.int64)
+        here = here[np.argsort(at[here], kind="stable")]
+        kept.append((text[here], at[here], weight[here]))
+    for lo in range(0, len(shared), FEATURES):
+        dense = []
+        for (text, at, weight), size, heavy in zip(kept, met.shape, (True, False)):
+            run = slice(*np.searchsorted(at, [lo, lo + FEATURES]))
+            one = np.zeros((size, min(FEATURES, len(shared) - lo)))
+            one[text[run], at[run] - lo] = weight[run] if heavy else 1.0
+            dense.append(one)
+        met += dense[0] @ dense[1].T
+    whole = [np.bincount(text, weight, t.num_rows) for (text, _, weight), t in zip(sides, (left, right))]
+    return met / (whole[0][:, None] + whole[1] - met)
+
+
+def crowded_links(texts: DataFrame, state: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(a, b): links under first keys between two components (state) that the rounds may not have compared: point 5 above.
+
+    A task takes at most about GROUP of a key's members and as many of those outside its largest component, and returns
+    the links that join their components, so no pair is a row."""
+    own = texts.select("doc", F.explode("buckets").alias("key")).join(state, "doc")
+    held = own.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = F.max_by("component", F.struct("n", "component")).alias("main")
+    # The leaders of a key of LEADERS + 1 members have met all of it.
+    crowded = held.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("components"), main).where(f"components > 1 and n > {LEADERS + 1}")
+    own = scratch.save(own.join(crowded.select("key", "main", F.ceil(F.col("n") / GROUP).alias("parts"), F.ceil((F.col("n") - F.col("most")) / GROUP).alias("other_parts")), "key"), "crowded")
+    place, every = (lambda of: F.pmod(F.xxhash64("doc"), of)), (lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1)))
+    sets = texts.select("doc", *SET)
+    some = ["key", "part", "other_part", "doc", "component", "main"]
+    left = own.withColumn("part", place("parts")).withColumn("other_part", every("other_parts")).select(some).join(sets, "doc")
+    right = own.where("component <> main").withColumn("other_part", place("other_parts")).withColumn("part", every("parts")).select(some).join(sets, "doc")
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides come from one table
+
+    def run(members: pa.Table, others: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if members.num_rows and others.num_rows:
+            near = block_similarities(members, others, n)
+            doc, other = members["doc"].to_numpy(), others["doc"].to_numpy()
+            group, other_group = members["component"].to_numpy(), others["component"].to_numpy()
+            apart = (group[:, None] != other_group) & ((group == members["main"].to_numpy())[:, None] | (doc[:, None] < other))
+            i, j = np.nonzero(apart & (near >= THRESHOLD - 1e-6))
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            for k in np.argsort(-near[i, j], kind="stable").tolist():
+                x, y = root(int(group[i[k]])), root(int(other_group[j[k]]))
+                if x != y:
+                    a, b = (_opened_set(*(t[c][int(at)].as_py() for c in SET), n) for t, at in ((members, i[k]), (others, j[k])))
+                    if weighted_jaccard(a, b) >= THRESHOLD:
+                        parent[max(x, y)] = min(x, y)
+                        found.append((int(doc[i[k]]), int(other[j[k]])))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    keys = ["key", "part", "other_part"]
+    return scratch.save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long"), "rest")
+
+
 def linked(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """(doc, component) of those texts (doc, weight, buckets, samples and SET) that have links: see point 4 above."""
+    """(doc, component) of those texts (doc, weight, buckets, samples and SET) that have links: see points 4 and 5 above."""
     state = scratch.save(texts.select("doc", F.col("doc").alias("component"), "weight"), "state")
     members = texts.select("doc", F.posexplode("buckets").alias("band", "key"))
     used: list[DataFrame] = []
@@ -446,6 +539,7 @@ def linked(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
         many = rest.where(F.col("n") > FEW).join(texts.select("doc", "samples"), "doc").withColumn("key", F.xxhash64("key", *_further(turn)))
         members = rest.where(F.col("n") <= FEW).select("doc", "band", "key").union(many.select("doc", "band", "key"))
         used = [own, leaders]
+    links.append(crowded_links(texts, state, n, scratch))
     none = state.select(F.col("doc").alias("a"), F.col("doc").alias("b")).where("false")
     return connected_components(reduce(DataFrame.union, links, none), scratch).withColumnRenamed("id", "doc")
 
