@@ -18,8 +18,7 @@ def op1_cover_tree_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, offsets=True).drop("text", "char_starts")
-    back = bpe.decode(encoded, ranks, pattern)
+    back = bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern, offsets=True, decoded="decoded")
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_split")
 
 
