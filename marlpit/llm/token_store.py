@@ -14,7 +14,9 @@ each, in order of their frames; a very long text is one frame, in a block of its
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,12 +28,23 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlpit.llm.bpe import byte_characters
 from marlpit.llm.common import shuffle_width
 from marlpit.llm.sharding import order_ranges, range_offsets
 
 SLICE = 256
 #: A worker keeps the ids of at most twice so many words, none longer than LONG bytes.
 MAX_WORDS, LONG = 300_000, 64
+#: Words whose two groups are two tokens' worth on their own under the steps STEPS of a tokenizer: normal form and lower case
+#: take them letter by letter, and its pattern cuts them there.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+STEPS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
 #: Unknown words go to the tokenizer as texts of so many: longer ones take it more time a word.
 WORDS_A_TEXT = 500
 #: The dictionary is trained on the documents of lowest hash, so many at most, cut into pieces of so many bytes, and of these on
@@ -53,6 +66,18 @@ class WordEncoder:
         self.end = np.array([end_id], self.kind).tobytes()
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model if self._has_steps() else None
+        spell = byte_characters()
+        self.spell = {c: "".join(spell[b] for b in chr(c).encode()) for c in range(256)}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.serial = [i.to_bytes(self.kind.itemsize, "little") for i in range(max(vocab.values(), default=-1) + 1)]
+
+    def _has_steps(self) -> bool:
+        """Whether the tokenizer's steps are STEPS, and none of its added tokens can stand in a word of SIMPLE."""
+        own = json.loads(self.tokenizer.to_str())
+        normal, pre, model = own["normalizer"] or {}, own["pre_tokenizer"] or {}, own["model"]
+        same = (normal.get("normalizers"), pre.get("pretokenizers")) == STEPS and model["type"] == "BPE" and not model["dropout"] and not own["truncation"] and not own["padding"]
+        return same and all(re.search("[^A-Za-zÀ-ÖØ-öø-ÿ][A-Za-zÀ-ÖØ-öø-ÿ]", t["content"]) for t in own["added_tokens"])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The serialized ids of texts. Known words are kept in two generations of MAX_WORDS each: a full one replaces the older one,
@@ -64,7 +89,7 @@ class WordEncoder:
             missing = {w for part in cut for w in part}
         again = missing & self.older.keys()
         self.words.update((w, self.older[w]) for w in again)
-        self._learn(list(missing - again))
+        self._learn([w for w in missing - again if not self._simple(w)])
         get = self.words.__getitem__
         out = [b"".join(map(get, part)) + self.end for part in cut]
         for w in missing:
@@ -72,6 +97,25 @@ class WordEncoder:
                 del self.words[w]
         return out
 
+    def _simple(self, word: bytes) -> bool:
+        """Whether the word is of SIMPLE; then its ids are kept, and those of its letters, which come with other endings too."""
+        met = self.model and SIMPLE.fullmatch(word.decode())
+        if not met:
+            return False
+        letters, tail = met.groups()
+        self.words[word] = self._match(letters.lower()) + self._match(tail) if tail else self._match(letters.lower())
+        return True
+
+    def _match(self, text: str) -> bytes:
+        """The ids of one match of the tokenizer's pattern, in lower case."""
+        key = text.encode()
+        ids = self.words.get(key) or self.older.get(key)
+        if ids is None:
+            ids = b"".join([self.serial[t.id] for t in self.model.tokenize(text if text.isascii() else text.translate(self.spell))])
+            if len(key) <= LONG:
+                self.words[key] = ids
+        return ids
+
     def _learn(self, new: list[bytes]) -> None:
         """Many words in one text, told apart by the offsets of their tokens."""
         for at in range(0, len(new), WORDS_A_TEXT):
