@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from marlpit.functions.text import cut_text, squeeze
 from marlpit.schema import ITEM_LIMITS, SUMMARY_LEAST, SUMMARY_MOST, TEXT_LIMITS
 
-#: Terms that are looked for in one copy of a text.
-TERMS_EACH = 200
-
 
 def references(raw: Column, n_chunks: Column) -> Column:
     """Integers among raw strings that name a chunk, distinct and sorted."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(raw, lambda x: x.try_cast("int")), lambda x: x.between(0, n_chunks - 1))))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(raw, lambda x: x.try_cast("int")), lambda x: x.between(0, n_chunks - 1))))
 
 
 def ground_items(items: DataFrame, lectures: DataFrame) -> DataFrame:
@@ -24,26 +21,21 @@ def ground_items(items: DataFrame, lectures: DataFrame) -> DataFrame:
     keywords, which need none. Definitions are capped before their term is looked for in the text, keywords after, and
     keywords are unique but for case. A term is looked for once in a lecture, and no text goes through a window."""
     limit = F.create_map(*[x for k, v in TEXT_LIMITS.items() for x in (F.lit(k), F.lit(v))])
-    cut = items.withColumn("term", F.substring(squeeze(F.coalesce("term", F.lit(""))), F.lit(1), limit[F.col("kind")])).where("term <> ''")
-    met = cut.join(lectures.select("lecture_id", "n_chunks"), "lecture_id").withColumn("refs", references(F.col("raw_refs"), F.col("n_chunks")))
-    cited = met.where((F.col("kind") == "keywords") | (F.size("refs") > 0))
-    low = F.lower("term").alias("low")
-    asked = cut.where(F.col("kind").isin("keywords", "definitions")).select("lecture_id", low).distinct()
-    # A row holds its lecture's text once for TERMS_EACH terms, or so.
-    in_lecture = asked.groupBy("lecture_id").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("low"), F.ceil(F.col("n") / TERMS_EACH))
-    packed = asked.join(in_lecture, "lecture_id").groupBy("lecture_id", part.alias("part")).agg(F.collect_list("low").alias("lows"))
-    texts = packed.join(lectures.select("lecture_id", F.lower("text").alias("text")), "lecture_id")
-    found = texts.select("lecture_id", F.explode(F.filter("lows", lambda w: F.contains(F.col("text"), w))).alias("low"))
+    cut = items.withColumn("term", F.substring(squeeze(F.coalesce("term", F.lit(""))), F.lit(1), limit[F.col("kind")])).where("term <> ''").withColumn("low", F.lower("term"))
+    texts = lectures.select("lecture_id", "n_chunks", F.lower("text").alias("text"))
+    # Contained in the text: a condition of the join, so that no row carries a text on.
+    said = F.contains("text", F.col("low"))
     order = Window.partitionBy("lecture_id", "kind").orderBy("position")
     cap = F.create_map(*[x for k, v in ITEM_LIMITS.items() for x in (F.lit(k), F.lit(v))])
-    others = cited.where("kind <> 'keywords'").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap[F.col("kind")]).withColumn("low", low)
-    defined = others.where("kind = 'definitions'").join(found, ["lecture_id", "low"], "left_semi")
-    words = cited.where("kind = 'keywords'").withColumn("low", low).join(found, ["lecture_id", "low"], "left_semi")
-    first = Window.partitionBy("lecture_id", "low").orderBy("position")
-    words = words.withColumn("nth", F.row_number().over(first)).where("nth = 1").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ITEM_LIMITS["keywords"])
+    met = cut.where("kind <> 'keywords'").join(lectures.select("lecture_id", "n_chunks"), "lecture_id").withColumn("refs", references(F.col("raw_refs"), F.col("n_chunks")))
+    others = met.where(F.size("refs") > 0).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= cap[F.col("kind")])
+    others = others.drop("n_chunks").join(texts, "lecture_id").where((F.col("kind") != "definitions") | said)
+    # Whether a keyword is found goes by its letters alone, so the first of each is picked before.
+    words = cut.where("kind = 'keywords'").groupBy("lecture_id", "low").agg(F.min(F.struct("position", "term", "raw_refs")).alias("first"))
+    words = words.join(texts, "lecture_id").where(said).select("lecture_id", F.lit("keywords").alias("kind"), "first.*", "n_chunks")
+    words = words.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= ITEM_LIMITS["keywords"]).withColumn("refs", references(F.col("raw_refs"), F.col("n_chunks")))
     kept = ["lecture_id", "kind", "position", "term", "refs"]
-    return others.where("kind <> 'definitions'").select(kept).union(defined.select(kept)).union(words.select(kept))
+    return others.select(kept).union(words.select(kept))
 
 
 def summaries(generated: DataFrame) -> DataFrame:
