@@ -118,7 +118,7 @@ class VectorIndex:
         return self.spark.read.schema(self.spark.read.parquet(f"{self.folder}/schema").schema).parquet(f"{self.folder}/blocks")
 
     def _nearest(self, rows: DataFrame, probes: int, keep: list[str]) -> DataFrame:
-        """rows (embedding_model, embedding, ...) with each of their nearest cells, of those of their model and length."""
+        """rows (embedding_model, embedding, ...) with each of their nearest cells, of those of their model and length, and its place from 0."""
         centres, fields = self.centres, rows.select(*keep, "embedding").schema.fields
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +134,9 @@ class VectorIndex:
                     near = np.asarray(lists.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, key[1]) @ middle.T
                     best = np.argsort(-near, axis=1, kind="stable")[:, :probes]
                     chosen = part.select([*keep, "embedding"]).take(pa.array(np.repeat(at, best.shape[1])))
-                    yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(cells[best.ravel()].astype(np.int32))], names=[*keep, "embedding", "cell"])
+                    yield pa.RecordBatch.from_arrays([*chosen.columns, pa.array(cells[best.ravel()].astype(np.int32)), pa.array(np.tile(np.arange(best.shape[1], dtype=np.int32), len(at)))], names=[*keep, "embedding", "cell", "nth"])
 
-        return rows.select("embedding_model", "embedding", *keep).mapInArrow(run, T.StructType([*fields, T.StructField("cell", T.IntegerType())]))
+        return rows.select("embedding_model", "embedding", *keep).mapInArrow(run, T.StructType([*fields, T.StructField("cell", T.IntegerType()), T.StructField("nth", T.IntegerType())]))
 
     def search(self, queries: DataFrame, top: int, probes: int, lectures: DataFrame | None = None) -> DataFrame:
         """The `top` nearest chunks that the probed cells hold, for queries (query_id, query_model, query): query_id, the chunks'
@@ -183,14 +183,17 @@ class VectorIndex:
         return flat.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
 
     def recall(self, queries: DataFrame, chunks: DataFrame, top: int, probes: list[int]) -> dict[int, float]:
-        """For each number of probes, the share of the exact search's chunks that the index finds too."""
-        exact = similarities(queries, chunks, top).select("query_id", "chunk_id", F.explode(F.array(*map(F.lit, probes))).alias("probes"))
-        found = None
-        for p in probes:
-            one = self.search(queries, top, p).select("query_id", "chunk_id", F.lit(p).alias("probes"), F.lit(1).alias("hit"))
-            found = one if found is None else found.unionByName(one)
-        shares = exact.join(found, ["query_id", "chunk_id", "probes"], "left").groupBy("probes").agg((F.count("hit") / F.count("*")).alias("share"))
-        return {r.probes: r.share for r in shares.collect()}
+        """For each number of probes, the share of the exact search's chunks that the index finds too. A search gives every one of
+        them whose cell it probes, as fewer chunks compete there, so the place of its cell among the query's tells from which
+        number on, and no search is run."""
+        exact = similarities(queries, chunks, top).select("query_id", "chunk_id")
+        cells = self.blocks().select("cell", F.explode("rows.chunk_id").alias("chunk_id"))
+        asked = _usable(queries.select("query_id", F.col("query_model").alias("embedding_model"), F.col("query").alias("embedding")))
+        near = self._nearest(asked, max(probes), ["query_id"]).select("query_id", "cell", "nth")
+        at = exact.join(cells, "chunk_id").join(near, ["query_id", "cell"]).groupBy("query_id", "chunk_id").agg(F.min("nth").alias("nth"))
+        found = exact.join(at, ["query_id", "chunk_id"], "left")
+        row = found.agg(F.count("*").alias("n"), *[F.count_if(F.col("nth") < p).alias(f"p{p}") for p in probes]).first()
+        return {p: row[f"p{p}"] / row.n for p in probes} if row.n else {}
 
     def calibrate(self, queries: DataFrame, chunks: DataFrame, top: int, target: float = 0.9) -> tuple[int, float]:
         """The least number of probes, of 1, 2, 3, 4, 6, 8, 12 ... and all lists, whose recall on at most CALIBRATION_QUERIES queries (of
