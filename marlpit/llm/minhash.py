@@ -6,8 +6,8 @@
    over all blocks; the sums come back to the block in the same order, so only numbers travel back, and no task holds more
    than a block or a range. The driver gets the number of rows and of bytes, nothing else.
 2. Equal texts are one class and go on as one. A class of n rows shares with other texts only shingles found in more than
-   n documents. Where the others carry more than 1 - THRESHOLD of its weight, no text can be similar enough, and the class
-   is left out of what follows: the bound is exact, and on natural text few classes are left.
+   n documents. Where the others carry more than 1 - THRESHOLD of its weight, with idf and without, no text can be similar
+   enough, and the class is left out of what follows: the bound is exact, and on natural text few classes are left.
 3. These get HASHES samples (shingle, level); two documents agree in one with the probability of their weighted Jaccard
    similarity. BANDS bands of ROWS samples are the first keys.
 4. In a round the LEADERS members of lowest hash under a key are compared with those that follow them and aren't yet in
@@ -20,6 +20,11 @@
    its leaders to meet them all is gone through whole: its members outside its largest component are compared with all
    members of other components, in blocks, by products of their shingles. After that any two texts under a first key have been compared or are in one component.
 6. Links at THRESHOLD or more make components; the smallest doc_id stays.
+7. Copies make the shingles of their own text common, so that a few words of a near copy would outweigh all that it shares
+   with a large group, the more the larger the group and the table. So towards a group, a component of two rows or more, the
+   shingles of which it holds the most part count as found in one document: those in at most MOST_PART times as many
+   documents as it has rows. needed() gives the least number that brings two texts to THRESHOLD; such links wait until one
+   of their components is that large, and join it. A passage that other texts hold as well keeps its low weight.
 
 The last step has as many pairs as a key's members outside its largest component times its members: its work grows with the
 square of a key only where that key joins many texts that are not similar. What the first keys don't bring together isn't
@@ -37,7 +42,7 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +60,8 @@ BANDS, ROWS = 16, 5
 HASHES = BANDS * ROWS
 SLICE = 256
 LEADERS, FEW = 4, 4
+#: A group has the most part of the documents that hold a shingle if these are at most so many times its rows.
+MOST_PART = 2
 #: Members of a crowded key that meet as many others in one task, and shingles of these taken at once.
 GROUP, FEATURES = 256, 8192
 #: A text as a weighted set.
@@ -319,7 +326,7 @@ def lone_until(df: np.ndarray, weights: np.ndarray) -> int:
 def signatures(blocks: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     """(doc_id, digest, alone, weight, buckets, samples, shingles, tf, df), one row for each row of the table.
 
-    digest is of the whole text, alone is lone_until(). What follows is null unless the text may have a partner, and is
+    digest is of the whole text, alone the larger lone_until() of the weights with idf and without. What follows is null unless the text may have a partner, and is
     given once for equal texts of a block, with their smallest doc_id: the weight of the whole text, a key for each band,
     the samples, and its distinct shingles in order, how often it has them and in how many documents they are, packed."""
 
@@ -351,7 +358,7 @@ def signatures(blocks: DataFrame, counts: DataFrame, n: int) -> DataFrame:
             distinct, tf = np.unique(s, return_counts=True)
             own = df[np.searchsorted(keys, distinct)]
             weights = tf_idf(tf, own, n)
-            alone[d] = lone_until(own, weights)
+            alone[d] = max(lone_until(own, weights), lone_until(own, tf.astype(np.float64)))
             if alone[d] == 1 or d not in least:
                 continue
             chosen, level = sample(distinct, weights)
@@ -376,30 +383,49 @@ def signatures(blocks: DataFrame, counts: DataFrame, n: int) -> DataFrame:
     return both.applyInArrow(run, "doc_id long, digest binary, alone long, weight double, buckets array<bigint>, samples array<int>, shingles binary, tf binary, df binary")
 
 
+def needed(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], n: int) -> int | None:
+    """The least d with a similarity of THRESHOLD or more when shingles in at most d of n documents count as found in one
+    (0: as they are); none if there is no such d. a and b: shingles in order, tf, df."""
+    if weighted_jaccard(*((keys, tf_idf(tf, df, n)) for keys, tf, df in (a, b))) >= THRESHOLD:
+        return 0
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(i):
+        return None
+    least, own = np.minimum(a[1][i], b[1][j]), a[2][i]
+    df, tf = np.concatenate([a[2], b[2]]), np.concatenate([a[1], b[1]])
+    levels = np.unique(own)
+
+    def sums(df: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """The weight of all, at each level: counting as found in one adds ln(df) / ln(SMOOTH)."""
+        gains = np.bincount(np.minimum(np.searchsorted(levels, df), len(levels)), tf * np.log(df) / math.log(SMOOTH), len(levels) + 1)
+        return tf_idf(tf, df, n).sum() + np.cumsum(gains[:-1])
+
+    met, whole = sums(own, least), sums(df, tf)
+    enough = np.flatnonzero(met >= THRESHOLD * (whole - met))
+    return int(levels[enough[0]]) if len(enough) else None
+
+
 def similarities(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """pairs (a, b and other columns) with sim, the weighted Jaccard similarity of the whole texts. texts has doc and SET."""
+    """pairs (a, b and other columns) with needed() of the whole texts, where there is one. texts has doc and SET."""
     left = texts.select(F.col("doc").alias("a"), F.struct(*SET).alias("set_a"))
     right = texts.select(F.col("doc").alias("b"), F.struct(*SET).alias("set_b"))
     met = pairs.join(left, "a").join(right, "b").select(*pairs.columns, "set_a", "set_b")
-    schema = T.StructType(pairs.schema.fields + [T.StructField("sim", T.DoubleType())])
+    schema = T.StructType(pairs.schema.fields + [T.StructField("needed", T.LongType())])
     lead, width = pairs.columns.index("b"), len(pairs.columns)
 
-    def opened(one: dict) -> tuple[np.ndarray, np.ndarray]:
-        return _opened_set(*(one[c] for c in SET), n)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, vector = None, None
+        last, counts = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                sims = []
+                found = []
                 for b, x, y in zip(part.column(lead).to_pylist(), part.column(width), part.column(width + 1)):
                     if b != last:
-                        last, vector = b, opened(y.as_py())
-                    sims.append(weighted_jaccard(opened(x.as_py()), vector))
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(sims, pa.float64())], names=schema.names)
+                        last, counts = b, _opened_counts(y.as_py())
+                    found.append(needed(_opened_counts(x.as_py()), counts, n))
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(found, pa.int64())], names=schema.names)
 
-    return met.mapInArrow(run, schema)
+    return met.mapInArrow(run, schema).where("needed is not null")
 
 
 def _further(turn: int) -> list[Column]:
@@ -419,9 +445,13 @@ def _joined(links: DataFrame) -> DataFrame:
     return jump.join(near, "u").select(F.col("u").alias("id"), F.least("label", "least").alias("label"))
 
 
+def _opened_counts(one: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(unpack(one["shingles"], np.uint64), dtype=np.uint64), unpack(one["tf"], np.uint32).astype(np.float64), unpack(one["df"], np.uint32)
+
+
 def _opened_set(shingles: bytes, tf: bytes, df: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.cumsum(unpack(shingles, np.uint64), dtype=np.uint64)
-    return keys, tf_idf(unpack(tf, np.uint32), unpack(df, np.uint32), n)
+    keys, times, found = _opened_counts({"shingles": shingles, "tf": tf, "df": df})
+    return keys, tf_idf(times, found, n)
 
 
 def _levels(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -437,11 +467,12 @@ def _levels(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(texts), np.concatenate(features), np.concatenate(weights)
 
 
-def block_similarities(left: pa.Table, right: pa.Table, n: int) -> np.ndarray:
-    """Weighted Jaccard similarities of all texts on the left with all on the right, to about 1e-9, by products of slices."""
+def _block_sums(left: pa.Table, right: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts on the left with all on the right the weight and the number of common shingles, and the weight of both, by
+    products of slices."""
     sides = [_levels(t, n) for t in (left, right)]
     shared = np.intersect1d(sides[0][1], sides[1][1])
-    met = np.zeros((left.num_rows, right.num_rows))
+    met = np.zeros((2, left.num_rows, right.num_rows))
     kept = []
     for text, feature, weight in sides:
         at = np.minimum(np.searchsorted(shared, feature), max(len(shared) - 1, 0))
@@ -449,22 +480,27 @@ def block_similarities(left: pa.Table, right: pa.Table, n: int) -> np.ndarray:
         here = here[np.argsort(at[here], kind="stable")]
         kept.append((text[here], at[here], weight[here]))
     for lo in range(0, len(shared), FEATURES):
-        dense = []
-        for (text, at, weight), size, heavy in zip(kept, met.shape, (True, False)):
-            run = slice(*np.searchsorted(at, [lo, lo + FEATURES]))
-            one = np.zeros((size, min(FEATURES, len(shared) - lo)))
-            one[text[run], at[run] - lo] = weight[run] if heavy else 1.0
-            dense.append(one)
-        met += dense[0] @ dense[1].T
+        width = min(FEATURES, len(shared) - lo)
+        (text, at, weight), (other, other_at, _) = [[x[slice(*np.searchsorted(k[1], [lo, lo + FEATURES]))] for x in k] for k in kept]
+        heavy, light = np.zeros((2, left.num_rows, width)), np.zeros((right.num_rows, width))
+        heavy[0, text, at - lo], heavy[1, text, at - lo], light[other, other_at - lo] = weight, 1.0, 1.0
+        met += heavy @ light.T
     whole = [np.bincount(text, weight, t.num_rows) for (text, _, weight), t in zip(sides, (left, right))]
-    return met / (whole[0][:, None] + whole[1] - met)
+    return met[0], met[1], whole[0][:, None] + whole[1]
+
+
+def block_similarities(left: pa.Table, right: pa.Table, n: int) -> np.ndarray:
+    """Weighted Jaccard similarities of all texts on the left with all on the right, to about 1e-9."""
+    met, _, whole = _block_sums(left, right, n)
+    return met / (whole - met)
 
 
 def crowded_links(texts: DataFrame, state: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """(a, b): links under first keys between two components (state) that the rounds may not have compared: point 5 above.
+    """(a, b, needed): links under first keys between two components (state) that the rounds may not have compared: point 5 above.
 
     A task takes at most about GROUP of a key's members and as many of those outside its largest component, and returns
-    the links that join their components, so no pair is a row."""
+    the links that join their components, so no pair is a row. A link is left out only where others that need no more
+    join the same two: they wait for no larger group."""
     own = texts.select("doc", F.explode("buckets").alias("key")).join(state, "doc")
     held = own.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = F.max_by("component", F.struct("n", "component")).alias("main")
@@ -479,13 +515,17 @@ def crowded_links(texts: DataFrame, state: DataFrame, n: int, scratch: Scratch)
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides come from one table
 
     def run(members: pa.Table, others: pa.Table) -> pa.Table:
-        found: list[tuple[int, int]] = []
+        found: list[tuple[int, int, int]] = []
         if members.num_rows and others.num_rows:
-            near = block_similarities(members, others, n)
+            met, number, whole = _block_sums(members, others, n)
+            # No similarity with some shingles counted as found in one document is above the one with just the common ones.
+            lone = number * tf_idf(1, 1, n)
+            most = lone / (lone + whole - 2 * met)
             doc, other = members["doc"].to_numpy(), others["doc"].to_numpy()
             group, other_group = members["component"].to_numpy(), others["component"].to_numpy()
             apart = (group[:, None] != other_group) & ((group == members["main"].to_numpy())[:, None] | (doc[:, None] < other))
-            i, j = np.nonzero(apart & (near >= THRESHOLD - 1e-6))
+            i, j = np.nonzero(apart & (most >= THRESHOLD - 1e-6))
+            likely = met[i, j] >= (THRESHOLD - 1e-6) * (whole[i, j] - met[i, j])
             parent: dict[int, int] = {}
 
             def root(x: int) -> int:
@@ -493,23 +533,58 @@ def crowded_links(texts: DataFrame, state: DataFrame, n: int, scratch: Scratch)
                     x = parent[x]
                 return x
 
-            for k in np.argsort(-near[i, j], kind="stable").tolist():
+            def joins(k: int) -> bool:
+                return root(int(group[i[k]])) != root(int(other_group[j[k]]))
+
+            def link(k: int, need: int) -> None:
                 x, y = root(int(group[i[k]])), root(int(other_group[j[k]]))
                 if x != y:
-                    a, b = (_opened_set(*(t[c][int(at)].as_py() for c in SET), n) for t, at in ((members, i[k]), (others, j[k])))
-                    if weighted_jaccard(a, b) >= THRESHOLD:
-                        parent[max(x, y)] = min(x, y)
-                        found.append((int(doc[i[k]]), int(other[j[k]])))
-        a, b = zip(*found) if found else ((), ())
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    parent[max(x, y)] = min(x, y)
+                    found.append((int(doc[i[k]]), int(other[j[k]]), need))
+
+            @lru_cache(2 * GROUP)
+            def opened(side: int, at: int) -> tuple[np.ndarray, ...]:
+                return _opened_counts({c: (members, others)[side][c][at].as_py() for c in SET})
+
+            def needs(k: int) -> int | None:
+                return needed(opened(0, int(i[k])), opened(1, int(j[k])), n)
+
+            for k in sorted(np.flatnonzero(likely).tolist(), key=lambda k: -most[i[k], j[k]]):
+                if joins(k) and needs(k) == 0:
+                    link(k, 0)
+            waiting = [(need, k) for k in range(len(i)) if joins(k) and (need := needs(k)) is not None]
+            for need, k in sorted(waiting):
+                link(k, need)
+        a, b, need = zip(*found) if found else ((), (), ())
+        return pa.table([pa.array(x, pa.int64()) for x in (a, b, need)], names=["a", "b", "needed"])
 
     keys = ["key", "part", "other_part"]
-    return scratch.save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long"), "rest")
+    return scratch.save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long, needed long"), "rest")
+
+
+def grouped(links: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc, component) of those texts (doc, rows) that links (a, b, needed) join: those that need nothing first, then again
+    and again those that one of their components is large enough for."""
+    waiting = scratch.save(links.where("needed > 0").groupBy("a", "b").agg(F.min("needed").alias("needed")), "waiting")
+    joined = connected_components(links.where("needed = 0"), scratch)
+    while True:
+        named = rows.join(joined.withColumnRenamed("id", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        sizes = named.groupBy("component").agg(F.sum("rows").alias("size"))
+        sized = named.join(sizes, "component").select("doc", "component", "size")
+        met = waiting
+        for end in ("a", "b"):
+            met = met.join(sized.select(F.col("doc").alias(end), F.col("component").alias(f"component_{end}"), F.col("size").alias(f"size_{end}")), end)
+        most = F.greatest("size_a", "size_b")
+        more = scratch.save(met.where((F.col("component_a") != F.col("component_b")) & (most > 1) & (most * MOST_PART >= F.col("needed"))).select("component_a", "component_b").distinct(), "more")
+        if more.isEmpty():
+            return joined.withColumnRenamed("id", "doc")
+        joined = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)
 
 
 def linked(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """(doc, component) of those texts (doc, weight, buckets, samples and SET) that have links: see points 4 and 5 above."""
-    state = scratch.save(texts.select("doc", F.col("doc").alias("component"), "weight"), "state")
+    """(doc, component) of those texts (doc, buckets, samples and SET) that have links: see points 4, 5 and 7 above. Each
+    text stands for as many rows as its column rows tells; without that column for one."""
+    state = scratch.save(texts.select("doc", F.col("doc").alias("component")), "state")
     members = texts.select("doc", F.posexplode("buckets").alias("band", "key"))
     used: list[DataFrame] = []
     links: list[DataFrame] = []
@@ -522,17 +597,17 @@ def linked(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
         if own.isEmpty():
             break
         place = F.row_number().over(Window.partitionBy("key").orderBy("turn", "doc"))
-        leaders = scratch.save(own.select("key", "doc", "turn", "component", "weight", place.alias("place")).where(F.col("place") <= LEADERS).drop("place"), "leaders")
-        heads = leaders.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("doc", "turn", "component", "weight")])
+        leaders = scratch.save(own.select("key", "doc", "turn", "component", place.alias("place")).where(F.col("place") <= LEADERS).drop("place"), "leaders")
+        heads = leaders.select("key", *[F.col(c).alias(f"lead_{c}") for c in ("doc", "turn", "component")])
         later = (F.col("turn") > F.col("lead_turn")) | ((F.col("turn") == F.col("lead_turn")) & (F.col("doc") > F.col("lead_doc")))
-        near = F.least("weight", "lead_weight") >= THRESHOLD * (1 - 1e-9) * F.greatest("weight", "lead_weight")
-        met = own.join(heads, "key").where((F.col("component") != F.col("lead_component")) & later & near)
+        met = own.join(heads, "key").where((F.col("component") != F.col("lead_component")) & later)
         pairs = met.select(F.col("doc").alias("a"), F.col("lead_doc").alias("b"), "component", "lead_component").distinct()
-        new = scratch.save(similarities(pairs, texts, n).where(F.col("sim") >= THRESHOLD), "links")
+        new = scratch.save(similarities(pairs, texts, n), "links")
+        links.append(new.select("a", "b", "needed"))
+        new = new.where("needed = 0")
         if not new.isEmpty():
-            links.append(new.select("a", "b"))
             relabelled = state.join(_joined(new), F.col("component") == F.col("id"), "left")
-            relabelled = scratch.save(relabelled.select("doc", F.coalesce("label", "component").alias("component"), "weight"), "state")
+            relabelled = scratch.save(relabelled.select("doc", F.coalesce("label", "component").alias("component")), "state")
             scratch.drop(state)
             state = relabelled
         rest = own.join(leaders.select("key", "doc"), ["key", "doc"], "left_anti").select("key", "band", "doc", "n")
@@ -540,8 +615,8 @@ def linked(texts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
         members = rest.where(F.col("n") <= FEW).select("doc", "band", "key").union(many.select("doc", "band", "key"))
         used = [own, leaders]
     links.append(crowded_links(texts, state, n, scratch))
-    none = state.select(F.col("doc").alias("a"), F.col("doc").alias("b")).where("false")
-    return connected_components(reduce(DataFrame.union, links, none), scratch).withColumnRenamed("id", "doc")
+    rows = texts.select("doc", F.col("rows") if "rows" in texts.columns else F.lit(1).alias("rows"))
+    return grouped(reduce(DataFrame.union, links), rows, scratch)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -560,7 +635,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = scratch.save(signed.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id")).where("class_id is not null"), "classes")
     some = signed.where("weight is not null").join(classes.withColumnRenamed("class_id", "doc_id"), ["digest", "doc_id"]).where("alone > n")
     # Where rows share a doc_id, one of them is taken, with the counts of its own text.
-    texts = scratch.save(some.select(F.col("doc_id").alias("doc"), "weight", "buckets", "samples", *SET).dropDuplicates(["doc"]), "texts")
+    texts = scratch.save(some.select(F.col("doc_id").alias("doc"), F.col("n").alias("rows"), "buckets", "samples", *SET).dropDuplicates(["doc"]), "texts")
     components = linked(texts, n, scratch)
     scratch.drop(texts)
     named = classes.join(components.select(F.col("doc").alias("class_id"), "component"), "class_id", "left").select("digest", "class_id", F.coalesce("component", "class_id").alias("component_id"))
