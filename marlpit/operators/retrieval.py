@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlpit.functions.text import cut_text
-from marlpit.functions.vector import cosine, norm
+from marlpit.functions.vector import norm
 from marlpit.schema import ANSWER_MOST, INSUFFICIENT, LIBRARY_CANDIDATES, MIN_SIMILARITY, SEARCH_LIMIT, SEARCH_PER_LECTURE
 
 #: Chunks and queries of a pair of blocks that are multiplied, and queries of these taken at once.
@@ -32,45 +32,66 @@ def similarities(queries: DataFrame, chunks: DataFrame, top: int, own_lecture: b
     Ranks, thresholds and budgets look at the exact value; shown() rounds it for output. top is held between 1 and the most
     that its kind of search gives: LECTURE_MOST chunks of one lecture, LIBRARY_MOST of all.
 
-    own_lecture: only chunks of the query's lecture, query_lecture, met by an equi-join on it, whatever the number of queries.
-    Otherwise chunks and queries (query_id, query_model, query) are dealt to blocks, and every block of queries meets every
-    block of chunks in a task that multiplies them and sends on `top` for each query: no pair is a row, no side is broadcast."""
+    Chunks and queries (query_id, query_model, query) are dealt to blocks, and every block of queries meets every block of
+    chunks in a task that multiplies them and sends on `top` for each query: no pair is a row, no vector is broadcast.
+
+    own_lecture: only chunks of the query's lecture, query_lecture. A lecture has its own blocks, as many as its size asks
+    for; small lectures share them."""
     top = min(max(top, 1), LECTURE_MOST if own_lecture else LIBRARY_MOST)
     q = queries.withColumn("query_norm", norm(F.col("query")))
     c = chunks.where("embedding is not null").withColumn("chunk_norm", norm(F.col("embedding")))
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "sequence", "chunk_id")
-    if own_lecture:
-        fits = (F.col("embedding_model") == F.col("query_model")) & (F.size("embedding") == F.size("query"))
-        near = c.join(q, fits & (F.col("lecture_id") == F.col("query_lecture")))
-        near = near.withColumn("similarity", cosine(F.col("embedding"), F.col("query"), F.col("chunk_norm"), F.col("query_norm"))).where("similarity is not null and not isnan(similarity)")
-        near = near.drop("embedding", "query", "chunk_norm", "query_norm", "query_model")
-    else:
-        near = _nearest_of_blocks(c, q, top)
+    near = _nearest_of_blocks(c, q, top, own_lecture)
     return near.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
 
 
-def _nearest_of_blocks(c: DataFrame, q: DataFrame, top: int) -> DataFrame:
+def _dealt_by_lecture(c: DataFrame, q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with __home, __blocks and __parts: a lecture of more than one block is a home of its own, others share
+    homes of about a block. Only lectures of more than one block are broadcast, of which there are no more than blocks."""
+    sizes = c.groupBy("lecture_id").agg(F.count("*").alias("n")).join(q.groupBy(F.col("query_lecture").alias("lecture_id")).agg(F.count("*").alias("asked")), "lecture_id", "full_outer")
+    sizes = sizes.select("lecture_id", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n", "asked")])
+    large = (F.col("n") > CHUNK_BLOCK) | (F.col("asked") > QUERY_BLOCK)
+    n, asked = sizes.where(~large).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("asked"), F.lit(0))).first()
+    homes = max(1, -(-n // CHUNK_BLOCK), -(-asked // QUERY_BLOCK))
+    own = sizes.where(large).select("lecture_id", F.ceil(F.col("n") / CHUNK_BLOCK).alias("__blocks"), F.ceil(F.col("asked") / QUERY_BLOCK).alias("__parts"))
+
+    def dealt(side: DataFrame, lecture: str) -> DataFrame:
+        met = side.join(F.broadcast(own.withColumnRenamed("lecture_id", lecture)), lecture, "left")
+        home = F.when(F.col("__blocks").isNull(), F.concat(F.lit("home "), F.pmod(F.xxhash64(F.col(lecture).cast("long")), F.lit(homes)))).otherwise(F.concat(F.lit("lecture "), lecture))
+        met = met.withColumn("__home", home).withColumns({n: F.coalesce(n, F.lit(1)) for n in ("__blocks", "__parts")})
+        return met.where("__blocks > 0 and __parts > 0")
+
+    return dealt(c, "lecture_id"), dealt(q, "query_lecture")
+
+
+def _nearest_of_blocks(c: DataFrame, q: DataFrame, top: int, own_lecture: bool) -> DataFrame:
     """For each query and block of chunks the `top` most similar: the columns of both sides but for vectors, and similarity."""
-    c, q = (side.where((F.col(n) > 0) & ~F.isnan(n)) for side, n in ((c.where("embedding_model is not null"), "chunk_norm"), (q.where("query_model is not null"), "query_norm")))
-    blocks, parts = (max(1, -(-side.count() // size)) for side, size in ((c, CHUNK_BLOCK), (q, QUERY_BLOCK)))
     shown_c, shown_q = [n for n in c.columns if n not in ("embedding", "chunk_norm")], [n for n in q.columns if n not in ("query", "query_norm", "query_model")]
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda of, n: F.pmod(F.xxhash64(of), F.lit(n)).cast("int")
-    left = c.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("__block", dealt("chunk_id", blocks)).withColumn("__part", every(parts))
-    right = q.withColumn("query", F.col("query").cast("array<double>")).withColumn("__part", dealt("query_id", parts)).withColumn("__block", every(blocks))
+    if own_lecture:
+        c, q = c.where("lecture_id is not null"), q.where("query_lecture is not null")
+    c, q = (side.where((F.col(n) > 0) & ~F.isnan(n)) for side, n in ((c.where("embedding_model is not null"), "chunk_norm"), (q.where("query_model is not null"), "query_norm")))
+    if own_lecture:
+        left, right = _dealt_by_lecture(c, q)
+    else:
+        blocks, parts = (max(1, -(-side.count() // size)) for side, size in ((c, CHUNK_BLOCK), (q, QUERY_BLOCK)))
+        left, right = (side.withColumns({"__home": F.lit(""), "__blocks": F.lit(blocks), "__parts": F.lit(parts)}) for side in (c, q))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    dealt = lambda of, n: F.pmod(F.xxhash64(of), F.col(n)).cast("int")
+    left = left.withColumn("embedding", F.col("embedding").cast("array<double>")).withColumn("__block", dealt("chunk_id", "__blocks")).withColumn("__part", every("__parts"))
+    right = right.withColumn("query", F.col("query").cast("array<double>")).withColumn("__part", dealt("query_id", "__parts")).withColumn("__block", every("__blocks"))
     schema = T.StructType([*c.select(*shown_c).schema.fields, *q.select(*shown_q).schema.fields, T.StructField("similarity", T.DoubleType())])
 
-    def kinds(models: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-        """Of each model and length the places and the vectors."""
+    def kinds(table: pa.Table, labels: list[str], vectors: pa.ChunkedArray) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+        """Of each model, length, and lecture where only its own counts, the places and the vectors."""
         at: dict[tuple, list[int]] = {}
-        for i, kind in enumerate(zip(models.to_pylist(), pc.list_value_length(vectors).to_pylist())):
+        for i, kind in enumerate(zip(*(table[n].to_pylist() for n in labels[: 1 + own_lecture]), pc.list_value_length(vectors).to_pylist())):
             at.setdefault(kind, []).append(i)
-        return {k: (np.array(i), vectors.take(pa.array(i)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(i), k[1])) for k, i in at.items()}
+        return {k: (np.array(i), vectors.take(pa.array(i)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(i), k[-1])) for k, i in at.items()}
 
     def run(chunks: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[pa.Table] = []
-        asked = kinds(queries["query_model"], queries["query"])
-        for kind, (of_c, x) in kinds(chunks["embedding_model"], chunks["embedding"]).items():
+        asked = kinds(queries, ["query_model", "query_lecture"], queries["query"])
+        for kind, (of_c, x) in kinds(chunks, ["embedding_model", "lecture_id"], chunks["embedding"]).items():
             if kind not in asked:
                 continue
             of_q, y = asked[kind]
@@ -110,7 +131,8 @@ def _nearest_of_blocks(c: DataFrame, q: DataFrame, top: int) -> DataFrame:
             return pa.concat_tables(found)
         return pa.table([*chunks.select(shown_c).slice(0, 0).columns, *queries.select(shown_q).slice(0, 0).columns, pa.array([], pa.float64())], names=schema.names)
 
-    return left.groupBy("__block", "__part").cogroup(right.groupBy("__block", "__part")).applyInArrow(run, schema)
+    keys = ["__home", "__block", "__part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
 def search_content(queries: DataFrame, chunks: DataFrame, lectures: DataFrame, candidates: int = LIBRARY_CANDIDATES, threshold: float = MIN_SIMILARITY, per_lecture: int = SEARCH_PER_LECTURE, limit: int = SEARCH_LIMIT) -> DataFrame:
